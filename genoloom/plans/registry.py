@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from genoloom.plans import lines, quality
+from genoloom.plans import feeds, lines, quality
 
-_PARTS = (quality, lines)
+_PARTS = (quality, lines, feeds)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}
