@@ -8,7 +8,7 @@ are propagated between neighbouring pairs until they no longer change; then cons
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,11 +53,21 @@ class Flooding:
         x, y = ({f"^{s}$"[i : i + 2] for i in range(len(s) + 1)} for s in (a, b))
         return 0.9 * 2 * len(x & y) / (len(x) + len(y))
 
-    def match(self, columns: list[tuple[str, str, str]]) -> dict[str, tuple[str, float]]:
-        """columns: (name, type, kind of value). Returns the column and score selected for each target that has one."""
+    def match(self, columns: list[tuple[str, str, str]], memory: dict | None = None) -> dict[str, tuple[str, float]]:
+        """columns: (name, type, kind of value). Returns the column and score selected for each target that has one.
+        memory: name likenesses kept from call to call."""
         n, m = len(columns), len(self.targets)
         if not n:
             return {}
+        memory = {} if memory is None else memory
+        if len(memory) > 50_000:
+            memory.clear()
+
+        def remembered(key: tuple, make: Callable[[], list[float]]) -> list[float]:
+            if key not in memory:
+                memory[key] = make()
+            return memory[key]
+
         plain = lambda s: re.sub(r"[^a-z0-9]", "", s.lower()) or s.lower()
         own_tokens = [self.tokens(c[0]) for c in columns]
         words = sorted({w for t in own_tokens for w in t})
@@ -65,13 +75,12 @@ class Flooding:
         there_words = sorted({w for t in there_tokens for w in t})
         kinds, there_kinds = sorted({c[2] for c in columns}), sorted({k for t in self.targets for k in t.kinds})
 
-        start = np.zeros((n, m))
-        for i, (name, _, _) in enumerate(columns):
-            for j, t in enumerate(self.targets):
-                if name in t.aliases:
-                    start[i, j] = 1.0
-                else:
-                    start[i, j] = max(0.95 if plain(name) == plain(a) else 0.7 * self.near(plain(name), plain(a)) for a in t.aliases)
+        def first_scores(name: str) -> list[float]:
+            p = plain(name)
+            return [1.0 if name in t.aliases else max(0.95 if p == plain(a) else 0.7 * self.near(p, plain(a)) for a in t.aliases) for t in self.targets]
+
+        # names and words recur from file to file
+        start = np.array([remembered(("name", c[0]), lambda c=c: first_scores(c[0])) for c in columns])
 
         def edges(rows: list[list[str]], names: list[str]) -> np.ndarray:
             at = {w: k for k, w in enumerate(names)}
@@ -82,7 +91,7 @@ class Flooding:
             return e
 
         labels = []  # (edges here, edges there, first scores of the pairs of attributes)
-        like = np.array([[1.0 if a == b else 0.5 * self.near(a, b) for b in there_words] for a in words])
+        like = np.array([remembered(("word", a), lambda a=a: [1.0 if a == b else 0.5 * self.near(a, b) for b in there_words]) for a in words])
         labels.append((edges(own_tokens, words), edges(there_tokens, there_words), like))
         same = np.array([[float(a == b) for b in there_kinds] for a in kinds])
         labels.append((edges([[c[2]] for c in columns], kinds), edges([list(t.kinds) for t in self.targets], there_kinds), same))
@@ -176,9 +185,12 @@ def correspondences(columns: DataFrame, flooding: Flooding) -> DataFrame:
     """(file_id, field_name, name, score, width) of every wanted target found in a file."""
     files = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("name", F.coalesce("width", F.lit(-1)).alias("width"), "kind"))).alias("cols"))
     wanted = {t.name for t in flooding.targets if t.wanted}
+    # rows are few and small, but each takes a while: a fixed number of tasks, which isn't coalesced by size
+    files = files.repartition(4 * int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, dict[str, tuple[str, float]]] = {}
+        memory: dict = {}
         for batch in batches:
             out = []
             for file_id, cols in zip(batch.file_id, batch.cols):
@@ -188,7 +200,7 @@ def correspondences(columns: DataFrame, flooding: Flooding) -> DataFrame:
                 if sign not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[sign] = flooding.match(seen)
+                    known[sign] = flooding.match(seen, memory)
                 out += [(file_id, f, name, score, widths[name] if widths[name] >= 0 else None) for f, (name, score) in known[sign].items() if f in wanted]
             yield pd.DataFrame(out, columns=["file_id", "field_name", "name", "score", "width"]).astype({"width": "Int32"})
 
