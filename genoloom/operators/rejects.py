@@ -35,33 +35,41 @@ def _unmark(x: Column, sep: Column) -> Column:
     return F.replace(F.replace(x, F.lit(MARK + INSIDE), sep), F.lit(MARK + MARKED), F.lit(MARK))
 
 
-def dissect(lines: DataFrame, raw: str = "raw", separator: str = "separator", width: str = "__width") -> DataFrame:
-    """Adds __quoting (a stray quote), __cells (the cells, quotes still around them) and __count (their number).
+def _once(df: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """df with a struct of columns that are computed once for each row.
+
+    The generator keeps the optimizer from putting their expressions into each place that uses them; within a function
+    over the parts of a line that would take quadratic time.
+    """
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(name))
+
+
+def dissect(lines: DataFrame, raw: str = "raw", separator: str = "separator") -> DataFrame:
+    """Adds __quoting (a stray quote), __cells (the cells, quotes still around them), __count (their number) and __sep.
 
     Parts of the line between double quotes alternate: those at even places stand outside. Quotes are sound if an outside
     part touches a quote only by a separator, or is empty between two quotes (a doubled quote), and none is left open.
     """
-    sep = F.col("__sep")
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in SEPARATORS.items() for x in kv]), F.col(separator))
     line = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\r\z", "")
-    line = F.when(sep == " ", F.trim(line)).otherwise(line)
-    df = lines.withColumn("__sep", F.element_at(F.create_map(*[F.lit(x) for kv in SEPARATORS.items() for x in kv]), F.col(separator)))
-    df = df.withColumn("__parts", F.split(F.replace(line, F.lit(MARK), F.lit(MARK + MARKED)), '"', -1))
-    last = F.size("__parts") - 1
-
-    def sound(part: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < last) & (part == "")
-        starts, ends = (i == 0) | (F.substring(part, 1, 1) == sep), (i == last) | (F.substring(part, -1, 1) == sep)
-        edge = (part == "") & ((i == 0) | (i == last))
-        return (i % 2 == 1) | inner | edge | (starts & ends)
-
-    checked = F.transform("__parts", sound)
-    quoting = (last % 2 == 1) | F.exists(checked, lambda ok: ~ok)
+    df = _once(lines, "__l", sep=named, line=F.replace(line, F.lit(MARK), F.lit(MARK + MARKED)))
+    sep = F.col("__l.sep")
+    df = _once(df, "__q", parts=F.split(F.when(sep == " ", F.trim("__l.line")).otherwise(F.col("__l.line")), '"', -1))
+    parts = F.col("__q.parts")
+    n = F.size(parts)
+    ends = lambda part: part.endswith(sep)
+    starts = lambda part: part.startswith(sep)
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    inner = F.slice(parts, 2, F.greatest(n - 2, F.lit(0)))  # its even places (from 0) are inside quotes
+    fine = F.forall(F.transform(inner, lambda part, i: (i % 2 == 0) | (part == "") | (starts(part) & ends(part))), lambda ok: ok)
+    sound = (n % 2 == 1) & ((n == 1) | (((first == "") | ends(first)) & ((last == "") | starts(last)) & fine))
     outside = lambda part: F.when(sep == " ", F.regexp_replace(part, " +", " ")).otherwise(part)
-    masked = F.transform("__parts", lambda part, i: F.when(i % 2 == 1, F.replace(part, sep, F.lit(MARK + INSIDE))).otherwise(outside(part)))
-    df = df.withColumn("__quoting", F.coalesce(quoting, F.lit(False)))
-    whole = F.array_join(masked, '"')
-    df = df.withColumn("__cells", F.when(sep.isNotNull(), F.split(whole, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1)))
-    return df.withColumn("__count", F.coalesce(F.size("__cells"), F.lit(-1))).drop("__parts")
+    masked = F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.replace(part, sep, F.lit(MARK + INSIDE))).otherwise(outside(part)))
+    cells = F.when(sep.isNotNull(), F.split(F.array_join(masked, '"'), F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1))
+    df = _once(df, "__c", quoting=F.coalesce(~sound, F.lit(False)), cells=cells)
+    return df.select(
+        *lines.columns, F.col("__l.sep").alias("__sep"), F.col("__c.quoting").alias("__quoting"), F.col("__c.cells").alias("__cells"), F.coalesce(F.size("__c.cells"), F.lit(-1)).alias("__count")
+    )
 
 
 def cell(i: Column) -> Column:
