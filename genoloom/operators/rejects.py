@@ -51,7 +51,8 @@ def dissect(lines: DataFrame, raw: str = "raw", separator: str = "separator") ->
     part touches a quote only by a separator, or is empty between two quotes (a doubled quote), and none is left open.
     """
     named = F.element_at(F.create_map(*[F.lit(x) for kv in SEPARATORS.items() for x in kv]), F.col(separator))
-    line = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\r\z", "")
+    text = F.coalesce(F.col(raw), F.lit(""))
+    line = F.when(text.endswith("\r"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     df = _once(lines, "__l", sep=named, line=F.replace(line, F.lit(MARK), F.lit(MARK + MARKED)))
     sep = F.col("__l.sep")
     df = _once(df, "__q", parts=F.split(F.when(sep == " ", F.trim("__l.line")).otherwise(F.col("__l.line")), '"', -1))
@@ -65,23 +66,24 @@ def dissect(lines: DataFrame, raw: str = "raw", separator: str = "separator") ->
     sound = (n % 2 == 1) & ((n == 1) | (((first == "") | ends(first)) & ((last == "") | starts(last)) & fine))
     outside = lambda part: F.when(sep == " ", F.regexp_replace(part, " +", " ")).otherwise(part)
     masked = F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.replace(part, sep, F.lit(MARK + INSIDE))).otherwise(outside(part)))
-    cells = F.when(sep.isNotNull(), F.split(F.array_join(masked, '"'), F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1))
+    whole = F.when(n == 1, outside(first)).otherwise(F.array_join(masked, '"'))
+    cells = F.lit(None).cast("array<string>")
+    for x in SEPARATORS.values():  # constant patterns of one character are never compiled
+        cells = F.when(sep == x, F.split(whole, x, -1)).otherwise(cells)
     df = _once(df, "__c", quoting=F.coalesce(~sound, F.lit(False)), cells=cells)
     return df.select(
         *lines.columns, F.col("__l.sep").alias("__sep"), F.col("__c.quoting").alias("__quoting"), F.col("__c.cells").alias("__cells"), F.coalesce(F.size("__c.cells"), F.lit(-1)).alias("__count")
     )
 
 
-def cell(i: Column) -> Column:
-    """The text of the i-th cell (from 1) without its enclosing quotes; null where there is no such cell."""
-    one = F.try_element_at("__cells", F.when(i > 0, i))
+def unquoted(one: Column, sep: Column) -> Column:
+    """The text of a cell without its enclosing quotes and marks."""
     bare = F.when(one.startswith('"') & (F.length(one) >= 2), F.replace(F.substr(one, F.lit(2), F.length(one) - 2), F.lit('""'), F.lit('"'))).otherwise(one)
-    return _unmark(bare, F.col("__sep"))
+    return F.when(F.contains(one, F.lit(MARK)), _unmark(bare, sep)).otherwise(bare)
 
 
-def number(text: Column) -> tuple[Column, Column]:
-    """(the number or null, whether the text is neither a number nor one of the texts for null)."""
-    t = F.trim(text)
+def number(t: Column) -> tuple[Column, Column]:
+    """(the number or null, whether the trimmed text is neither a number nor one of the texts for null)."""
     blank = t.isNull() | F.lower(t).isin(*NULL_TEXTS)
     is_number = F.coalesce(t.rlike(NUMBER), F.lit(False))
     return F.when(is_number, t.try_cast("double")), ~blank & ~is_number
@@ -114,23 +116,25 @@ def load_lines(lines: DataFrame, files: DataFrame, checks: list[Check], line_id:
 
     def judged(df: DataFrame) -> DataFrame:
         df = dissect(df)
+        ones = {c.column: F.try_element_at("__cells", F.when(at[c.column] > 0, at[c.column].cast("int"))) for c in checks}
+        df = _once(df, "__o", **ones)
+        df = _once(df, "__t", **{c.column: F.trim(unquoted(F.col(f"__o.{c.column}"), F.col("__sep"))) for c in checks})
+        parsed = {c.column: number(F.col(f"__t.{c.column}")) for c in checks}
+        df = _once(df, "__v", **{k: v for k, (v, _) in parsed.items()}, **{f"wrong_{k}": w for k, (_, w) in parsed.items()})
         bad = F.lit(False)
         for c in checks:
-            value, wrong = number(cell(at[c.column].cast("int")))
-            name = f"__v_{c.column}"
-            df = df.withColumn(name, value)
-            v = F.col(name)
+            v = F.col(f"__v.{c.column}")
             low = F.lit(False) if c.low is None else ((v <= c.low) if c.low_open else (v < c.low))
             high = F.lit(False) if c.high is None else v > c.high
-            bad = bad | wrong | F.coalesce(low | high, F.lit(False))
+            bad = bad | F.col(f"__v.wrong_{c.column}") | F.coalesce(low | high, F.lit(False))
         df = df.withColumn("__bad", bad)
         return df.withColumn("__misfit", (F.col("__count") != F.coalesce(F.size("__names"), F.lit(-2))) | F.col("__sep").isNull())
 
     strict = judged(joined).where("NOT __quoting AND NOT __misfit AND NOT __bad")
-    plain = F.transform("__cells", lambda x: _unmark(F.when(x.startswith('"') & (F.length(x) >= 2), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x), F.col("__sep")))
+    plain = F.transform("__cells", lambda x: unquoted(x, F.col("__sep")))
     rows = cut(
         strict.select(
-            "line_id", "file_id", "line_no", *[F.col(f"__v_{c.column}").alias(c.column.lower()) for c in checks],
+            "line_id", "file_id", "line_no", *[F.col(f"__v.{c.column}").alias(c.column.lower()) for c in checks],
             F.arrays_zip(F.col("__names").alias("name"), plain.alias("text")).alias("cells"),
         ),
         "lines",
