@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed values. Seeds of span 13: 1 must agree, 0 is ignored. Every position is ignored by at least one of them, so that
 #: 13 words with any one of them substituted are still hit; 13 equal words are hit by each.
@@ -133,13 +134,13 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     for block in range(blocks):
         own = chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else chosen
         seeds = spark.sparkContext.broadcast(Seeds.of([(r.i, r.t) for r in own.orderBy("i", "t").collect()]))
-        part = corpus.mapInArrow(_search(seeds, least), schema)
+        part = corpus.mapInArrow(_search(seeds, least, to_arrow_type(chosen.schema["i"].dataType)), schema)
         found = part if found is None else found.unionByName(part)
     # an item text given twice under one id is one item
     return found.groupBy("i", "d").agg(F.max("run_words").alias("run_words"), F.max("overlap_words").alias("overlap_words"), F.min("substitutions").alias("substitutions")).withColumnsRenamed({"i": item_id, "d": doc_id})
 
 
-def _search(shared, least: int):
+def _search(shared, least: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = shared.value
         get, gap = seeds.vocabulary.get, [0] * 64
@@ -177,7 +178,7 @@ def _search(shared, least: int):
                     docs, starts, ids = [], [], []
             if docs:
                 out += search(docs, starts, ids)
-            cols = [pa.array([r[0] for r in out]), pa.array([r[1] for r in out], batch.schema.field("d").type)] + [pa.array([r[c] for r in out], pa.int32()) for c in (2, 3, 4)]
+            cols = [pa.array([r[0] for r in out], id_type), pa.array([r[1] for r in out], batch.schema.field("d").type)] + [pa.array([r[c] for r in out], pa.int32()) for c in (2, 3, 4)]
             if out:
                 yield pa.RecordBatch.from_arrays(cols, names=["i", "d", "run_words", "overlap_words", "substitutions"])
 
