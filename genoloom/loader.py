@@ -23,7 +23,7 @@ class Study:
 
     @classmethod
     def from_bed(cls, spark: SparkSession, path: str) -> Study:
-        spark.dataSource.register(bed.BedSource)
+        bed.register(spark)
         variants, samples = tables.numbered(tables.read_bim(spark, path), "variant_idx"), tables.numbered(tables.read_fam(spark, path), "sample_idx")
         return cls(variants, spark.read.format("genoloom_bed").load(path), samples)
 

@@ -1,6 +1,6 @@
 """Binary genotypes (two bits a call, variant by variant) as a data source and a writer.
 
-    spark.dataSource.register(BedSource); spark.read.format("genoloom_bed").load("panel.bed")
+    register(spark); spark.read.format("genoloom_bed").load("panel.bed")
 
 The file is read in ranges of variants, one task each, by seeking; the fam and bim files beside it give the numbers of
 samples and variants. Filters on variant_idx, and a list of samples as an option, limit what is read and decoded.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: Start of a file with variants as rows; dosage of A1 for each two-bit code, -1 for missing.
@@ -99,6 +99,12 @@ class BedSource(DataSource):
         return BedReader(dict(self.options))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the source known to the session, and lets it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BedSource)
+
+
 def write_bed(calls: DataFrame, path: str, samples: int) -> None:
     """Writes calls to a local file; variants are packed in tasks and stream through the driver in their order."""
     code = np.array([3, 2, 0, 1], np.uint8)  # of dosage 0, 1, 2 and missing
