@@ -22,6 +22,11 @@ from genoloom.storage import cut, salted_join
 TYPE_NAMES = ("integer", "float", "string")
 
 
+def leaf(name: str) -> str:
+    """The key itself of a name that has the keys of the objects around it in front."""
+    return name.rsplit("/", 1)[-1]
+
+
 @dataclass(frozen=True)
 class Target:
     """A canonical column: names it is known under, the classes of value it may have, and whether it is asked for."""
@@ -39,10 +44,10 @@ class Flooding:
     targets: tuple[Target, ...]
     tolerance: float = 1e-3
     max_rounds: int = 60
-    least: float = 0.35
+    least: float = 0.25
 
     def tokens(self, name: str) -> list[str]:
-        parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name.rsplit(".", 1)[-1] if re.fullmatch(r"[\w.]+\.[\w]{4,}", name) else name)
+        parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", leaf(name))
         return sorted({p.lower() for p in parts}) or [name.lower()]
 
     @staticmethod
@@ -76,8 +81,9 @@ class Flooding:
         kinds, there_kinds = sorted({c[2] for c in columns}), sorted({k for t in self.targets for k in t.kinds})
 
         def first_scores(name: str) -> list[float]:
-            p = plain(name)
-            return [1.0 if name in t.aliases else max(0.95 if p == plain(a) else 0.7 * self.near(p, plain(a)) for a in t.aliases) for t in self.targets]
+            own = leaf(name)
+            p = plain(own)
+            return [1.0 if own in t.aliases else max(0.95 if p == plain(a) else 0.7 * self.near(p, plain(a)) for a in t.aliases) for t in self.targets]
 
         # names and words recur from file to file
         start = np.array([remembered(("name", c[0]), lambda c=c: first_scores(c[0])) for c in columns])
@@ -119,9 +125,10 @@ class Flooding:
                     x[i, j] *= 0.5
         found: dict[str, tuple[str, float]] = {}
         used: set[int] = set()
-        for flat in np.argsort(-(x + start), axis=None, kind="stable"):
+        total = x + start
+        for flat in np.argsort(-total, axis=None, kind="stable"):
             i, j = divmod(int(flat), m)
-            if i in used or self.targets[j].name in found or x[i, j] < self.least * x.max():
+            if i in used or self.targets[j].name in found or total[i, j] < self.least * total.max():
                 continue
             used.add(i)
             found[self.targets[j].name] = (columns[i][0], float(x[i, j]))
@@ -134,7 +141,7 @@ def _numeric(text: Column) -> Column:
 
 
 def file_columns(records: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(file_id, name, kind, width, ...) of every key of every file; keys of nested objects are named parent.key.
+    """(file_id, name, kind, width, ...) of every key of every file; keys of nested objects are named parent/key.
 
     width is the widest type of the non-null values as a position in TYPE_NAMES, null without any. Payloads that are null
     or no JSON object contribute nothing. Whole numbers beyond 64 bits count as float.
@@ -165,7 +172,7 @@ def file_columns(records: DataFrame, max_depth: int = 8) -> DataFrame:
         out = stats if out is None else out.unionByName(stats)
         if stats.where("objects > 0").isEmpty():
             break
-        level = pairs.where("schema_of_variant(v) LIKE 'OBJECT%'").select("file_id", F.concat("name", F.lit(".")).alias("prefix"), "v")
+        level = pairs.where("schema_of_variant(v) LIKE 'OBJECT%'").select("file_id", F.concat("name", F.lit("/")).alias("prefix"), "v")
     filled = F.col("n") - F.col("nulls")
     number = F.col("numbers") >= 0.8 * filled
     kind = (
@@ -178,7 +185,8 @@ def file_columns(records: DataFrame, max_depth: int = 8) -> DataFrame:
         .when((F.col("size") > 1_000_000), "position")
         .otherwise("count")
     )
-    return out.select("file_id", "name", kind.alias("kind"), "width", "n")
+    # what is nothing but objects is told by its keys
+    return out.where((F.col("objects") == 0) | (F.col("objects") < filled)).select("file_id", "name", kind.alias("kind"), "width", "n")
 
 
 def correspondences(columns: DataFrame, flooding: Flooding) -> DataFrame:
@@ -253,7 +261,9 @@ def reconcile(records: DataFrame, files: DataFrame, flooding: Flooding, casts: d
     flat = flat.withColumn("__map", F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.from_json("payload", "map<string,string>")))
 
     def value(w: str) -> Column:
-        x = _numeric(F.try_element_at("__map", F.col(f"__{w}")))
+        name = F.col(f"__{w}")
+        inner = F.expr(f"get_json_object(payload, concat('$.', replace(`__{w}`, '/', '.')))")
+        x = _numeric(F.when(F.contains(name, F.lit("/")), inner).otherwise(F.try_element_at("__map", name)))
         return (x.try_cast("bigint") if casts[w] == "bigint" else x).alias(w.lower())
 
     table = flat.select("record_id", "file_id", *[value(w) for w in wanted])
