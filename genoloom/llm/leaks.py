@@ -96,26 +96,32 @@ def overlap(a: np.ndarray, b: np.ndarray, spacing: int = 6) -> tuple[int, int, i
     apart and the ends agree; substituted words in it. A word that is no item word (0) differs from everything."""
     wrong = np.flatnonzero((a != b) | (a == 0))
     edges = np.concatenate([[-1], wrong, [len(a)]])
-    run = int((np.diff(edges) - 1).max())
-    best, subs, start, inside, last = 0, 0, 0, 0, None
-    for p in [*wrong.tolist(), len(a)]:
-        if p == len(a) or (last is not None and p - last < spacing) or (last is None and p == start):
-            end = p
-            if last is not None and end - last == 1:  # the stretch must not end with a substitution
-                end, inside = last, inside - 1
-            if end - start > best:
-                best, subs = end - start, inside
-            start, inside, last = p + 1, 0, None
-        else:
-            inside, last = inside + 1, p
-    return run, best, subs
+    gaps = np.diff(edges)
+    run = int(gaps.max() - 1)
+    if not len(wrong):
+        return run, run, 0
+    # a longest stretch reaches from the substitution before a chain of tolerated ones to the one after it
+    broken = np.flatnonzero(gaps[1:-1] < spacing)
+    first, last = np.concatenate([[0], broken + 1]), np.concatenate([broken, [len(wrong) - 1]])
+    # it must neither begin nor end with a substitution
+    head, tail = gaps[first] == 1, gaps[last + 1] == 1
+    length = edges[last + 2] - edges[first] - 1 - head - tail
+    best = int(length.max())
+    return (run, best, int((last - first + 1 - head - tail)[length == best].min())) if best > 0 else (0, 0, 0)
+
+
+def longer(x: tuple[int, int, int], y: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Two results of `overlap` as one: the longer run, and the longer stretch, of equal ones that with fewer substitutions."""
+    stretch = max((x[1], -x[2]), (y[1], -y[2]))
+    return max(x[0], y[0]), stretch[0], -stretch[1]
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 13) -> DataFrame:
     """(item_id, doc_id, run_words, overlap_words, substitutions) for every document with an overlap of at least `least` words.
 
-    run_words is the longest run of equal consecutive words; overlap_words tolerates single substituted words that stand
-    at least six apart. One row for each item and document that overlap; every document is searched as a whole, documents
+    overlap_words is the longest stretch of the two texts in which single substituted words stand at least six apart, and
+    substitutions the number of these in it; run_words is the longest run of equal consecutive words in any alignment with
+    an overlap of `least` words, and need not lie in that stretch. One row for each item and document that overlap; every document is searched as a whole, documents
     or items without text or with fewer than `least` words give none, equal texts under several ids each their own rows.
     Only the named columns are read.
 
@@ -137,7 +143,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         part = corpus.mapInArrow(_search(seeds, least, to_arrow_type(chosen.schema["i"].dataType)), schema)
         found = part if found is None else found.unionByName(part)
     # an item text given twice under one id is one item
-    return found.groupBy("i", "d").agg(F.max("run_words").alias("run_words"), F.max("overlap_words").alias("overlap_words"), F.min("substitutions").alias("substitutions")).withColumnsRenamed({"i": item_id, "d": doc_id})
+    return found.groupBy("i", "d").agg(F.max("run_words").alias("run_words"), F.max("overlap_words").alias("overlap_words"), F.min_by("substitutions", F.struct(-F.col("overlap_words"), "substitutions")).alias("substitutions")).withColumnsRenamed({"i": item_id, "d": doc_id})
 
 
 def _search(shared, least: int, id_type: pa.DataType):
@@ -163,7 +169,7 @@ def _search(shared, least: int, id_type: pa.DataType):
                     got = overlap(row[a:b], t[a - diagonal : b - diagonal])
                     if got[1] >= least:
                         key = (seeds.ids[item], docs[k])
-                        best[key] = max(best.get(key, got), got)
+                        best[key] = longer(best.get(key, got), got)
             return [(*k, *v) for k, v in best.items()]
 
         for batch in batches:

@@ -100,6 +100,44 @@ def test_substituted_words_are_tolerated(spark):
     assert (r.run_words, r.overlap_words, r.substitutions) == (7, 14, 1)
 
 
+def stretches(a, b):
+    """By trying all: longest run; longest stretch, and the least number of substitutions in one so long."""
+    wrong = [x != y or not x for x, y in zip(a, b)]
+    run, best = 0, (0, 0)
+    for s in range(len(a)):
+        for e in range(s + 1, len(a) + 1):
+            at = [k for k in range(s, e) if wrong[k]]
+            if not at:
+                run = max(run, e - s)
+            if not wrong[s] and not wrong[e - 1] and all(y - x >= 6 for x, y in zip(at, at[1:])):
+                best = max(best, (e - s, -len(at)))
+    return run, best[0], -best[1]
+
+
+def test_longest_stretch_of_an_alignment_is_that_of_all_stretches():
+    rng = np.random.default_rng(6)
+    for k in range(600):
+        b = rng.integers(1, 4, int(rng.integers(1, 40))).astype(np.uint64)
+        a = np.where(rng.random(len(b)) < (0.05, 0.15, 0.3, 0.8, 1, 0)[k % 6], np.uint64(rng.integers(0, 2) * 9), b)
+        assert leaks.overlap(a, b) == stretches(a.tolist(), b.tolist()), (a, b)
+    # substitutions at 2, 5 and 11: the stretch from 3 holds the last two
+    a = np.arange(1, 19, dtype=np.uint64)
+    assert leaks.overlap(np.where(np.isin(np.arange(18), [2, 5, 11]), np.uint64(0), a), a) == (6, 15, 2)
+
+
+def test_overlap_and_run_are_maxima_of_their_own_over_alignments(spark):
+    w = ITEM.split()
+    w2 = w[:17]
+    w2[8] = "other"
+    docs = [(1, " ".join([*w[20:33], "and", *w2]))]  # a run of 13 and, elsewhere, 17 words with a substituted one
+    r = leaks.leaked(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(1, ITEM)], "item_id int, text string")).first()
+    assert (r.run_words, r.overlap_words, r.substitutions) == (13, 17, 1)
+    # texts of one id in different lines of the table
+    both = spark.createDataFrame([(1, " ".join(w[20:33])), (1, " ".join(w[:17]))], "item_id int, text string")
+    r = leaks.leaked(spark.createDataFrame(docs, "doc_id int, text string"), both).first()
+    assert (r.run_words, r.overlap_words, r.substitutions) == (13, 17, 1)
+
+
 def test_each_position_is_ignored_by_a_mask():
     assert all(any(m[k] == "0" for m in leaks.MASKS) for k in range(13)) and {len(m) for m in leaks.MASKS} == {13}
     assert leaks.words('A\\nb"C\\"d É1\\tx') == ["a", "b", "c", "d", "1", "x"]
