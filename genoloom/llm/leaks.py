@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Fixed values. Seeds of span 13: 1 must agree, 0 is ignored. Every position is ignored by at least one of them, so that
-#: 13 words with any one of them substituted are still hit; 13 equal words are hit by each.
-MASKS = ("1011101110111", "1101110111011", "1110111011101", "0111011101110")
+#: Fixed values. Seeds of span 13: 1 must agree, 0 is ignored. Any two positions of 1 to 12 that stand at least six apart
+#: are ignored by one of them, so that the first 13 words of every stretch that `overlap` accepts are hit: they begin with
+#: a word that agrees, and hold two substitutions at most. The last one also ignores position 0.
+MASKS = ("1001111001111", "1001111110011", "1001111111100", "1110011110011", "1110011111100", "0111100111100")
 ESCAPES = re.compile(r'\\[nrt"]')
 WORDS = re.compile(r"[a-z0-9]+")
 #: Items handled by one pass over the corpus; more are taken in blocks. Bounds what every worker holds.

@@ -143,6 +143,25 @@ def test_each_position_is_ignored_by_a_mask():
     assert leaks.words('A\\nb"C\\"d É1\\tx') == ["a", "b", "c", "d", "1", "x"]
 
 
+def test_every_tolerated_overlap_is_hit_by_a_seed(spark):
+    def patterns(n, start=1):
+        """All sets of inner positions of n words that stand at least six apart."""
+        yield ()
+        for p in range(start, n - 1):
+            for rest in patterns(n, p + 6):
+                yield (p, *rest)
+
+    w = [f"w{k}" for k in range(22)]
+    seeds = leaks.Seeds.of([(1, " ".join(w))])
+    for n in range(13, 23):
+        for at in patterns(n):
+            ids = np.array([0] * 3 + [0 if k in at else seeds.vocabulary[w[k]] for k in range(n)] + [0] * 3, np.uint64)
+            assert seeds.hits(ids).tolist() == [[0, 3]], (n, at)
+    d = spark.createDataFrame([(1, " ".join("other" if k in (3, 9) else w[k] for k in range(16)))], "doc_id int, text string")
+    r = leaks.leaked(d, spark.createDataFrame([(1, " ".join(w))], "item_id int, text string")).first()
+    assert r is not None and (r.run_words, r.overlap_words, r.substitutions) == (6, 16, 2)
+
+
 # --- containers ----------------------------------------------------------------------------------------------------------
 def test_containers_hold_every_piece_once(spark):
     rng = np.random.default_rng(4)
