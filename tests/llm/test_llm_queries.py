@@ -6,3 +6,7 @@ from genoloom.llm import registry
 @pytest.mark.parametrize("name", sorted(set(registry.SQL) - {"p8_found"}))
 def test_query_equals_sql(name, compare):
     compare(registry.QUERIES[name], registry.SQL[name])
+
+
+def test_found_overlaps_equal_sql(compare):
+    compare(registry.QUERIES["p8_found"], registry.SQL["p8_found"])
