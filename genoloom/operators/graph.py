@@ -91,16 +91,19 @@ def mismatch(edges: DataFrame, stats: DataFrame, n: int, r2_max: float = 0.95, b
     return e.join(zi, [*by, "i"]).join(zj, [*by, "j"]).groupBy(*by, "i").agg(F.avg(d * d / (1 - F.col("r") * F.col("r"))).alias("T"))
 
 
-def drop_mismatched(edges: DataFrame, stats: DataFrame, n: int, p_max: float = 5e-8, rounds: int = 5, cap: float = 0.005, by: list[str] | None = None) -> DataFrame:
-    """stats without variants whose T is improbable; the worst first, at most a share `cap` of all in a round."""
+def drop_mismatched(edges: DataFrame, stats: DataFrame, n: int, p_max: float = 5e-8, rounds: int = 10, cap: float = 0.005, by: list[str] | None = None) -> DataFrame:
+    """stats without variants whose T is improbable; the worst first, at most a share `cap` of all in a round, in the last
+    round all that are found."""
     from genoloom.functions.stats import erfc_sql
 
     by = by or []
     total = stats.count()
     left = stats
-    for _ in range(rounds):
+    for k in range(rounds):
         t = mismatch(edges, left, n, by=by).withColumn("p", F.expr(erfc_sql("sqrt(T / 2)"))).where(F.col("p") < p_max)
-        worst = cut(t.orderBy("p", *by, "i").limit(max(1, int(cap * total))).select(*by, "i"), "mismatch")
+        if k < rounds - 1:
+            t = t.orderBy("p", *by, "i").limit(max(1, int(cap * total)))
+        worst = cut(t.select(*by, "i"), "mismatch")
         if worst.isEmpty():
             break
         left = left.join(worst, [*by, "i"], "left_anti")
