@@ -179,6 +179,11 @@ def asof_blocks(v):
     return intervals.as_of_blocks(v("vars").select("SNP", "CHR", "POS"), v("blocks").where("block_start % 20000 = 10000"), bin_width=5000).select("SNP", "block_start", "block_end")
 
 
+@query("SELECT v.SNP, b.block_start, b.block_end FROM vars v ASOF LEFT JOIN blocks b ON v.CHR = b.chr AND v.POS >= b.block_start", "vars blocks")
+def asof_all_blocks(v):
+    return intervals.as_of_blocks(v("vars").select("SNP", "CHR", "POS"), v("blocks"), bin_width=5000).select("SNP", "block_start", "block_end")
+
+
 @query("SELECT v.SNP, b.block_start FROM vars v JOIN blocks b ON v.CHR = b.chr AND v.POS >= b.block_start AND v.POS < b.block_end", "vars blocks")
 def genomic_blocks(v):
     return intervals.as_of_blocks(v("vars").select("SNP", "CHR", "POS"), v("blocks"), matched_only=True).select("SNP", "block_start")

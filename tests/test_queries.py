@@ -11,3 +11,12 @@ def test_query_equals_sql(name, compare):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(name, spark):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_blocks_of_all_variants_are_looked_up_among_all_blocks(spark):
+    from genoloom.plans.views import view
+
+    folder = "/root/testdata/sf0.001"
+    got = registry.QUERIES["asof_all_blocks"](spark, folder)
+    assert got.count() == view(spark, folder, "vars").count()
+    assert got.where("block_start % 20000 = 0").count() > 0 and got.where("block_start IS NULL").isEmpty()
