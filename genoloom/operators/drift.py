@@ -24,7 +24,12 @@ TYPE_NAMES = ("integer", "float", "string")
 
 def leaf(name: str) -> str:
     """The key itself of a name that has the keys of the objects around it in front."""
-    return name.rsplit("/", 1)[-1]
+    return name.rsplit("/", 1)[-1].replace("~1", "/").replace("~0", "~")
+
+
+def keys(name: Column) -> Column:
+    """The keys of a name from the outermost object to the value."""
+    return F.transform(F.split(name, "/"), lambda k: F.replace(F.replace(k, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
 
 
 @dataclass(frozen=True)
@@ -140,8 +145,9 @@ def _numeric(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"^[A-Za-z]=|(?<=[0-9]),(?=[0-9]{3})", "").try_cast("double")
 
 
-def file_columns(records: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(file_id, name, kind, width, ...) of every key of every file; keys of nested objects are named parent/key.
+def file_columns(records: DataFrame) -> DataFrame:
+    """(file_id, name, kind, width, ...) of every key of every file; keys of nested objects, however deep, are named
+    parent/key, with ~ and / within a key written as ~0 and ~1.
 
     width is the widest type of the non-null values as a position in TYPE_NAMES, null without any. Payloads that are null
     or no JSON object contribute nothing. Whole numbers beyond 64 bits count as float.
@@ -150,9 +156,9 @@ def file_columns(records: DataFrame, max_depth: int = 8) -> DataFrame:
     prefix = F.lit("").alias("prefix")
     out: DataFrame | None = None
     level = base.select("file_id", prefix, "v").where("schema_of_variant(v) LIKE 'OBJECT%'")
-    for _ in range(max_depth):
+    while True:
         level.createOrReplaceTempView("__genoloom_drift")
-        pairs = level.sparkSession.sql("SELECT d.file_id, concat(d.prefix, e.key) AS name, e.value AS v FROM __genoloom_drift d, LATERAL variant_explode(d.v) e")
+        pairs = level.sparkSession.sql("SELECT d.file_id, concat(d.prefix, replace(replace(e.key, '~', '~0'), '/', '~1')) AS name, e.value AS v FROM __genoloom_drift d, LATERAL variant_explode(d.v) e")
         kind = F.schema_of_variant("v")
         text = F.try_variant_get("v", "$", "string")
         typed = pairs.select("file_id", "name", kind.alias("t"), text.alias("s"))
@@ -256,14 +262,15 @@ def reconcile(records: DataFrame, files: DataFrame, flooding: Flooding, casts: d
     matched = cut(correspondences(file_columns(records), flooding), "matched")
     wanted = list(casts)
     names = matched.groupBy("file_id").agg(*[F.max(F.when(F.col("field_name") == w, F.col("name"))).alias(f"__{w}") for w in wanted])
+    names = names.select("file_id", *[keys(F.col(f"__{w}")).alias(f"__{w}") for w in wanted])
     flat = salted_join(records.select("record_id", "file_id", "payload"), names, ["file_id"], "left")
     whole = F.try_parse_json("payload")
     flat = flat.withColumn("__map", F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.from_json("payload", "map<string,string>")))
 
     def value(w: str) -> Column:
-        name = F.col(f"__{w}")
-        inner = F.expr(f"get_json_object(payload, concat('$.', replace(`__{w}`, '/', '.')))")
-        x = _numeric(F.when(F.contains(name, F.lit("/")), inner).otherwise(F.try_element_at("__map", name)))
+        path = F.col(f"__{w}")
+        inner = F.aggregate(path, F.col("payload"), lambda json, k: F.try_element_at(F.from_json(json, "map<string,string>"), k))
+        x = _numeric(F.when(F.size(path) > 1, inner).otherwise(F.try_element_at("__map", F.get(path, F.lit(0)))))
         return (x.try_cast("bigint") if casts[w] == "bigint" else x).alias(w.lower())
 
     table = flat.select("record_id", "file_id", *[value(w) for w in wanted])
