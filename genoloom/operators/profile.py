@@ -1,37 +1,39 @@
 """Column profile of delivered loads: standard aggregates, expressions induced by description length, comparisons.
 
 Every load is compared with the one before it. Counts are compared as whole numbers, so that a share that lies exactly
-on a limit never depends on rounding.
+on a limit never depends on rounding. Columns may be numbers or texts; numbers have the text that a plain writer gives.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections import defaultdict
+from dataclasses import dataclass
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from genoloom.storage import cut, drop_cut
 
-#: Distinct token shapes of one column that the description length is minimised over; rarer ones count as free text.
-MAX_SHAPES = 4096
+#: Runs up to which every run of a text is generalised or not by description length; in longer texts all runs are.
+WIDE_RUNS = 8
 #: Mantissa bits of the bins that a distribution is compared in; a level is reached only by bins that are undecided.
 LEVELS = (4, 8, 16, 32, 52)
 
 
 @dataclass(frozen=True)
 class Domain:
-    """What a column may hold: an interval, whole numbers only, and whether few distinct values are a fault."""
+    """What a column may hold: an interval, values of the column's own expression only (strict), and whether few distinct
+    values are a fault."""
 
     low: float | None = None
     high: float | None = None
     low_open: bool = False
     high_open: bool = False
-    whole: bool = False
+    strict: bool = False
     spread: bool = False
 
     def outside(self, x: Column) -> Column:
@@ -44,17 +46,16 @@ class Domain:
         return bad
 
 
-@dataclass
-class Expression:
-    """One induced expression of a column and the token shapes it stands for."""
-
-    regex: str
-    shapes: list[str] = field(default_factory=list)
-    distinct: int = 0
-
-
 def value_text(x: Column) -> Column:
-    return x.cast("string")
+    """Text of a double; without an exponent from 1e7 on, where the usual text has one. NaN and infinities have none."""
+    text = x.cast("string")
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), "[-.]", "")
+    places = F.substring_index(text, "E", -1).try_cast("int") + 1
+    whole = F.rpad(F.left(digits, places), places, "0")
+    rest = F.substr(digits, places + 1)
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(finite, F.when(F.abs(x) >= 1e7, plain).otherwise(text))
 
 
 def shape_of(text: Column) -> Column:
@@ -65,19 +66,34 @@ def shape_of(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(named, "0*[1-9][0-9]*", "D"), "0+", "Z")
 
 
+def wide_shape(shape: Column) -> Column:
+    """The shape with every run generalised (zeros to digits, cases to letters) and without a sign in front."""
+    wide = F.regexp_replace(F.regexp_replace(F.translate(shape, "ZUl", "DAA"), "A+", "A"), "D+", "D")
+    return F.regexp_replace(wide, "^-", "")
+
+
 #: Regular expression and bits of a character for every token class.
 TOKENS = {"U": ("[A-Z]+", math.log2(26)), "l": ("[a-z]+", math.log2(26)), "Z": ("0+", 0.0), "D": ("[0-9]+", math.log2(10)), "A": ("[A-Za-z]+", math.log2(52))}
 
 
 def _regex(shape: str) -> str:
-    return "".join(TOKENS[c][0] if c in TOKENS else ("\\" + c if not c.isalnum() and c.isascii() else c) for c in shape)
+    """The expression of a shape; a leading ~ stands for a sign that may be there."""
+    sign, rest = ("-?", shape[1:]) if shape.startswith("~") else ("", shape)
+    return sign + "".join(TOKENS[c][0] if c in TOKENS else ("\\" + c if not c.isalnum() and c.isascii() else c) for c in rest)
 
 
-def _shape_bits(shape: str, stats: list[dict], total: int) -> float:
+def _shape_bits(shape: str, own: list[dict], total: int) -> float:
     """Description length of one expression and of the distinct values it covers."""
-    n = sum(s["n"] for s in stats)
-    chars = sum(s["chars"] for s in stats)
-    low, high = min(s["low"] for s in stats), max(s["high"] for s in stats)
+    n = sum(s["n"] for s in own)
+    lengths: dict[tuple[bool, int], int] = defaultdict(int)  # values by sign and length
+    for s in own:
+        for length, m in s["lengths"]:
+            lengths[s["shape"].startswith("-"), length] += m
+    chars = sum(x * m for (_, x), m in lengths.items())
+    symbols = len(shape)
+    if shape.startswith("~"):
+        chars -= sum(m for (signed, _), m in lengths.items() if signed)
+        shape = shape[1:]
     runs = [c for c in shape if c in TOKENS]
     free = max(0.0, chars - n * (len(shape) - len(runs)))
     each = max((TOKENS[c][1] for c in runs), default=0.0)
@@ -85,81 +101,104 @@ def _shape_bits(shape: str, stats: list[dict], total: int) -> float:
         free = max(0.0, free - n * sum(c == "Z" for c in runs))
     else:
         each = 0.0
-    lengths = n * len(runs) * math.log2(high - low + 1) if runs else 0.0
-    model = (len(shape) + 2) * math.log2(100) + 2 * math.log2(high + 2)
-    return model + n * math.log2(total / n) + free * each + lengths
+    # sign and length by a code of the group's own, which is part of the model, then where runs end
+    code = sum(m * math.log2(n / m) + 2 * math.log2(2 + x) + math.log2(1 + m) for (_, x), m in lengths.items()) if runs else 0.0
+    ends = sum(m * math.log2(max(1, x)) for (_, x), m in lengths.items()) * max(0, len(runs) - 1)
+    return (symbols + 2) * math.log2(100) + n * math.log2(total / n) + code + free * each + ends
+
 
+def _raw_bits(own: list[dict], total: int) -> float:
+    """Description length of values written out character by character."""
+    return sum(s["n"] * math.log2(total / s["n"]) + sum(x * m for x, m in s["lengths"]) * math.log2(96) for s in own)
 
-def induce(stats: list[dict], total: int) -> tuple[list[Expression], list[str]]:
-    """The set of expressions of least description length over a column's distinct values, most frequent first.
 
-    stats: shape, n (distinct values), chars, low, high (lengths) of each shape. total: distinct values of the column.
-    Starts from one expression per shape, then takes the best of these steps while one shortens the description: give
-    two classes their common generalisation (zeros become digits, cases become letters), or give a shape up, its values
-    then being written out character by character. Returns the expressions and the shapes given up.
+def _positions(shape: str) -> list[str]:
+    """Sign (- or nothing), then runs and other characters one by one; letters next to each other are one run."""
+    out, rest = (["-"], shape[1:]) if shape.startswith("-") else ([""], shape)
+    for c in rest:
+        if c in "Ul" and len(out) > 1 and out[-1][-1] in "Ul":
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+def induce(stats: list[dict], total: int) -> list[tuple[str, list[dict], bool]]:
+    """Expressions of least description length for the distinct values of one wide shape, as (shape, members, kept).
+
+    stats: shape, n (distinct values), lengths (of (length, distinct values)) of each member. total: distinct values of the column.
+    Starts from an expression for each member. A place of the wide shape is generalised in all of them (zeros become
+    digits, cases letters, a sign one that may be there) as long as that shortens the description, the best place first.
+    What is then shorter written out character by character is no expression of the column (kept is false).
     """
-    if not stats:
-        return [], []
-    groups: dict[str, list[dict]] = {s["shape"]: [s] for s in stats}
-    raw = lambda own: sum(s["n"] * math.log2(total / max(1, sum(x["n"] for x in own))) + s["chars"] * math.log2(96) for s in own)
-    given_up: list[dict] = []
-
-    def general(shape: str) -> str:
-        out: list[str] = []
-        for c in shape:
-            c = {"Z": "D", "U": "A", "l": "A"}.get(c, c)
-            if not out or out[-1] != c or c not in "DA":
-                out.append(c)
-        return "".join(out)
-
-    by_general: dict[str, list[str]] = {}
-    for shape in groups:
-        by_general.setdefault(general(shape), []).append(shape)
-    for wide, members in by_general.items():
-        if len(members) > 1:
-            apart = sum(_shape_bits(m, groups[m], total) for m in members)
-            joined = [s for m in members for s in groups[m]]
-            if _shape_bits(wide, joined, total) < apart:
-                for m in members:
-                    del groups[m]
-                groups[wide] = joined
-    for shape, own in sorted(groups.items(), key=lambda x: sum(s["n"] for s in x[1])):
-        if raw(own) < _shape_bits(shape, own, total):
-            given_up += own
-            del groups[shape]
-    found = [Expression(_regex(k), [s["shape"] for s in own], sum(s["n"] for s in own)) for k, own in groups.items()]
-    found.sort(key=lambda e: (-e.distinct, e.regex))
-    return found, [s["shape"] for s in given_up]
+    parts = [(_positions(s["shape"]), s) for s in stats]
+    places = len(parts[0][0])
+    open_places = [k for k in range(places) if len({p[k] for p, _ in parts}) > 1]
+    wide = {k: "~" if k == 0 else "A" if parts[0][0][k][0] in "UlA" else "D" for k in open_places}
+
+    def grouped(general: set[int]) -> dict[str, list[dict]]:
+        out: dict[str, list[dict]] = defaultdict(list)
+        for p, s in parts:
+            out["".join(wide[k] if k in general else c for k, c in enumerate(p))].append(s)
+        return out
+
+    bits = lambda groups: sum(_shape_bits(k, own, total) for k, own in groups.items())
+    chosen: set[int] = set() if len(open_places) <= WIDE_RUNS else set(open_places)
+    groups = grouped(chosen)
+    least = bits(groups)
+    while len(chosen) < len(open_places):
+        tried = [(bits(g), k, g) for k in open_places if k not in chosen for g in [grouped(chosen | {k})]]
+        best, k, g = min(tried, key=lambda x: x[:2])
+        if best >= least:
+            break
+        least, groups = best, g
+        chosen.add(k)
+    return [(k, own, _shape_bits(k, own, total) <= _raw_bits(own, total)) for k, own in groups.items()]
 
 
 def distinct_table(df: DataFrame, load: str, fields: list[str]) -> DataFrame:
-    """(load_id, f, x, c): the rows of each distinct value of each field of each load; f is the field's position."""
-    pairs = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(fields))
-    long = df.where(F.col(load).isNotNull()).select(F.col(load).alias("load_id"), F.expr(f"stack({len(fields)}, {pairs}) AS (f, x)"))
-    return long.groupBy("load_id", "f", "x").agg(F.count(F.lit(1)).alias("c"))
-
-
-def expressions(values: DataFrame, fields: list[str], max_shapes: int = MAX_SHAPES) -> dict[int, list[Expression]]:
-    """Induced expressions of every field, over its distinct values in all loads."""
-    text = value_text(F.col("x"))
-    shapes = (
-        values.where("x IS NOT NULL").select("f", "x").distinct()
-        .select("f", F.substring(shape_of(text), 1, 64).alias("shape"), F.length(text).alias("len"))
-        .groupBy("f", "shape")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("chars"), F.min("len").alias("low"), F.max("len").alias("high"))
-    )
-    kept = shapes.withColumn("r", F.row_number().over(W.partitionBy("f").orderBy(F.desc("n"), "shape"))).where(F.col("r") <= max_shapes)
-    rows = [r.asDict() for r in kept.drop("r").collect()]
-    out: dict[int, list[Expression]] = {}
-    for i, _ in enumerate(fields):
-        own = [r for r in rows if r["f"] == i]
-        out[i], _ = induce(own, sum(r["n"] for r in own))
-    return out
+    """(load_id, f, x, t, shape, c): the rows of each distinct value of each field of each load; f is the field's position,
+    x the value as a number (null if it is none), t the text of a column of texts, shape the text's token shape."""
+    kinds = dict(df.dtypes)
+    texts = [c for c in fields if kinds[c] == "string"]
+    number = lambda c: f"try_cast(`{c}` AS DOUBLE)"
+    pairs = ", ".join(f"{i}, {number(c)}, {f'`{c}`' if c in texts else 'CAST(NULL AS STRING)'}" for i, c in enumerate(fields))
+    long = df.where(F.col(load).isNotNull()).select(F.col(load).alias("load_id"), F.expr(f"stack({len(fields)}, {pairs}) AS (f, x, t)"))
+    keys = ["x", "t"] if texts else ["x"]
+    one = long.groupBy("load_id", "f", *keys).agg(F.count(F.lit(1)).alias("c"))
+    text = F.coalesce("t", value_text(F.col("x"))) if texts else value_text(F.col("x"))
+    return one.select("load_id", "f", "x", F.col("t") if texts else F.lit(None).cast("string").alias("t"), shape_of(text).alias("shape"), "c")
+
+
+def expressions(values: DataFrame) -> DataFrame:
+    """(f, shape, example, regex, distinct_values, kept) of every token shape of every field, a written table: the induced
+    expression that the shape belongs to, and how many distinct values in all loads that has.
+
+    Wide shapes are described apart from each other, so that any number of shapes is handled, each in full length.
+    """
+    text = F.coalesce("t", value_text(F.col("x")))
+    single = values.where("shape IS NOT NULL").select("f", "x", "t", "shape").distinct()
+    sized = single.withColumn("text", text).groupBy("f", "shape", F.length("text").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("example"))
+    shapes = sized.groupBy("f", "shape").agg(F.sum("n").alias("n"), F.min("example").alias("example"), F.sort_array(F.collect_list(F.array(F.col("len").cast("bigint"), "n"))).alias("lengths"))
+    shapes = cut(shapes.withColumn("wide", wide_shape(F.col("shape"))), "shapes")
+    total = shapes.groupBy("f").agg(F.sum("n").alias("total"))
+
+    def describe(part: pd.DataFrame) -> pd.DataFrame:
+        part["lengths"] = [[(int(a), int(b)) for a, b in x] for x in part.lengths]
+        stats = part.drop(columns=["f", "wide", "total"]).to_dict("records")
+        out = [
+            (part.f[0], s["shape"], s["example"], _regex(shape), sum(o["n"] for o in own), kept)
+            for shape, own, kept in induce(stats, int(part.total[0])) for s in own
+        ]
+        return pd.DataFrame(out, columns=["f", "shape", "example", "regex", "distinct_values", "kept"])
 
+    schema = "f int, shape string, example string, regex string, distinct_values bigint, kept boolean"
+    return cut(shapes.join(total, "f").groupBy("f", "wide").applyInPandas(describe, schema), "expressions")
 
-def _is_whole(regex: str) -> bool:
-    """Whether every number that the expression admits is whole: no free digit after the point, no exponent."""
-    return "E" not in regex and "A-Z" not in regex and ("." not in regex.replace("[0-9]", "") or regex.endswith("\\.0+"))
+
+def own_expressions(found: DataFrame) -> DataFrame:
+    """(f, own): the kept expression of each field that covers most distinct values; of equal ones the last in order."""
+    return found.where("kept").groupBy("f").agg(F.max_by("regex", F.struct("distinct_values", "regex")).alias("own"))
 
 
 def _ordered(x: Column, bits: int) -> Column:
@@ -196,6 +235,7 @@ def shifted(values: DataFrame, pairs: DataFrame, limit: Fraction) -> DataFrame:
         .select("load_id", "prev_id", "f", "n", "m")
     )
     hit: DataFrame | None = None
+    written: list[DataFrame] = []
     open_bins: DataFrame | None = None
     for level, bits in enumerate(LEVELS):
         exact = bits == LEVELS[-1]
@@ -221,6 +261,7 @@ def shifted(values: DataFrame, pairs: DataFrame, limit: Fraction) -> DataFrame:
             "may", ((F.col("before") + F.col("plus")) * F.lit(q) > size) | ((F.col("minus") - F.col("before")) * F.lit(q) > size)
         )
         walked = cut(walked.where("over OR may"), "shift")
+        written.append(walked)
         over = walked.where("over").select("load_id", "f").distinct()
         hit = over if hit is None else hit.unionByName(over)
         if exact:
@@ -229,15 +270,18 @@ def shifted(values: DataFrame, pairs: DataFrame, limit: Fraction) -> DataFrame:
         if left.isEmpty():
             break
         open_bins = left.select("load_id", "prev_id", "f", "n", "m", F.col("b").alias("up"), F.col("before").cast("decimal(38,0)").alias("d0"))
-    return hit.distinct()
+    out = cut(hit.distinct(), "shifted")
+    for t in written:
+        drop_cut(t)
+    return out
 
 
 @dataclass
 class Profile:
-    """table: one row for each load and field. expressions: induced ones by field name."""
+    """table: one row for each load and field. expressions: (field_name, rank_no, expression, distinct_values)."""
 
     table: DataFrame
-    expressions: dict[str, list[Expression]]
+    expressions: DataFrame
 
 
 def profile(
@@ -256,45 +300,50 @@ def profile(
     df has a row per delivered value row, `loads` one row per load with `series` and a gapless `order`. Other columns of
     either table, whatever their names, are not read. Rows without a load belong to none and are left out; a load that
     `loads` doesn't list, or whose series or order is null, is a first load. Repeated rows count as often as they stand.
-    NaN counts as a value outside the domain. An empty table gives an empty profile.
-
-    Columns: load_id, field_name, rows, nulls, distinct_values, min_value, max_value, outside, nonconforming (rows that no
-    or a minor expression matches), conforming_share, coverage_change, broken (rows that break the domain's expression,
-    checked exactly among the nonconforming ones), has_prev, and the flags is_nulls, is_range, is_pattern, is_distinct,
-    is_shift.
+    NaN counts as a value outside the domain and, as infinities do, has no text. In a column of texts what is no number is
+    outside as well. An empty table gives an empty profile.
+
+    Columns: load_id, field_name, rows, nulls, distinct_values, min_value, max_value, outside, expression (of the column:
+    the induced one that covers most distinct values), nonconforming (rows whose text it doesn't match; none where a column
+    has no expression shorter than its values), uncovered (rows that no induced expression describes), conforming_share,
+    coverage_change, has_prev, and the flags is_nulls, is_range, is_pattern (strict columns: rows don't conform),
+    is_distinct, is_shift.
     """
     fields = list(domains)
+    kinds = dict(df.dtypes)
     values = cut(distinct_table(df, load, fields), "values")
-    found = expressions(values, fields)
+    found = expressions(values)
+    verdicts = found.join(F.broadcast(own_expressions(found)), "f", "left").select(  # a row for each field
+        "f", "shape", F.coalesce(F.expr("example RLIKE concat('^(?:', own, ')$')"), F.lit(True)).alias("conforms"), "kept"
+    )
 
-    text = value_text(F.col("x"))
-    prime, any_, suspect, outside, spread, whole_cols = (F.lit(False), F.lit(False), F.lit(False), F.lit(False), F.lit(False), [])
+    outside, spread, strict = F.lit(False), [], []
     for i, name in enumerate(fields):
         here, dom = F.col("f") == i, domains[name]
-        outside = F.when(here, dom.outside(F.col("x"))).otherwise(outside)
-        own = found[i]
-        prime = F.when(here, text.rlike(f"^{own[0].regex}$") if own else F.lit(False)).otherwise(prime)
-        rest = "|".join(e.regex for e in own[1:])
-        any_ = F.when(here, text.rlike(f"^(?:{rest})$") if rest else F.lit(False)).otherwise(any_)
-        if dom.whole:
-            admit = "|".join(e.regex for e in own if _is_whole(e.regex))
-            unlike = ~text.rlike(f"^-?(?:{admit})$") if admit else F.lit(True)
-            suspect = F.when(here, unlike & (F.rint("x") != F.col("x"))).otherwise(suspect)
+        bad = dom.outside(F.col("x"))
+        if kinds[name] == "string":
+            bad = F.coalesce(bad, F.col("t").isNotNull())
+        outside = F.when(here, bad).otherwise(outside)
         if dom.spread:
-            spread = spread | here
-            whole_cols.append(i)
-    present = F.col("x").isNotNull()
+            spread.append(i)
+        if dom.strict:
+            strict.append(i)
+    present = F.col("x").isNotNull() | F.col("t").isNotNull()
     rows = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0)).alias
-    agg = values.groupBy("load_id", "f").agg(
+    # values of one shape share its verdict, so they are added up before it is looked up
+    by_shape = values.groupBy("load_id", "f", "shape").agg(
+        F.sum("c").alias("c"), rows(~present)("nulls"), F.sum(present.cast("bigint")).alias("distinct_values"),
+        F.min("x").alias("min_value"), F.max("x").alias("max_value"), rows(present & outside)("outside"),
+    )
+    agg = by_shape.join(verdicts, ["f", "shape"], "left").groupBy("load_id", "f").agg(
         F.sum("c").alias("rows"),
-        rows(~present)("nulls"),
-        F.count("x").alias("distinct_values"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
-        rows(present & outside)("outside"),
-        rows(present & ~prime)("nonconforming"),
-        rows(present & ~prime & any_)("minor"),
-        rows(present & suspect)("broken"),
+        F.sum("nulls").alias("nulls"),
+        F.sum("distinct_values").alias("distinct_values"),
+        F.min("min_value").alias("min_value"),
+        F.max("max_value").alias("max_value"),
+        F.sum("outside").alias("outside"),
+        rows(~F.col("conforms"))("nonconforming"),
+        rows(~F.col("kept"))("uncovered"),
     )
     agg = cut(agg, "profile")
 
@@ -303,29 +352,32 @@ def profile(
     pairs = ids.join(ids.select(*on, (F.col("__no") + 1).alias("__no"), F.col("load_id").alias("prev_id")), [*on, "__no"]).select("load_id", "prev_id")
     pairs = cut(pairs, "pairs")
     shift = shifted(values, pairs, Fraction(shift_limit)).withColumn("is_shift", F.lit(True))
+    drop_cut(values)
 
     before = agg.select(F.col("load_id").alias("prev_id"), "f", F.col("rows").alias("rows0"), F.col("nulls").alias("nulls0"), F.col("nonconforming").alias("bad0"))
     whole = agg.join(pairs, "load_id", "left").join(before, ["prev_id", "f"], "left").join(shift, ["load_id", "f"], "left")
+    whole = whole.join(F.broadcast(own_expressions(found)), "f", "left")
     big = lambda x: F.col(x).cast("decimal(18,0)")
     nl, ds = Fraction(null_limit), Fraction(distinct_share)
     n = F.col("rows") - F.col("nulls")
     n0 = F.col("rows0") - F.col("nulls0")
     share, share0 = (n - F.col("nonconforming")) / F.nullif(n, F.lit(0)), (n0 - F.col("bad0")) / F.nullif(n0, F.lit(0))
+    name = F.element_at(F.array(*[F.lit(x) for x in fields]), F.col("f") + 1).alias("field_name")
     table = whole.select(
-        "load_id",
-        F.element_at(F.array(*[F.lit(x) for x in fields]), F.col("f") + 1).alias("field_name"),
-        "rows", "nulls", "distinct_values", "min_value", "max_value", "outside", "nonconforming",
+        "load_id", name, "rows", "nulls", "distinct_values", "min_value", "max_value", "outside",
+        F.col("own").alias("expression"), "nonconforming", "uncovered",
         share.alias("conforming_share"),
         (share - share0).alias("coverage_change"),
-        "broken",
         F.col("rows0").isNotNull().alias("has_prev"),
         F.coalesce((big("nulls") * big("rows0") - big("nulls0") * big("rows")) * nl.denominator > big("rows") * big("rows0") * nl.numerator, F.lit(False)).alias("is_nulls"),
         (F.col("outside") > 0).alias("is_range"),
-        (F.col("broken") > 0).alias("is_pattern"),
-        (F.col("f").isin(whole_cols) & (F.col("distinct_values") * ds.denominator < n * ds.numerator)).alias("is_distinct"),
+        (F.col("f").isin(strict) & (F.col("nonconforming") > 0)).alias("is_pattern"),
+        (F.col("f").isin(spread) & (F.col("distinct_values") * ds.denominator < n * ds.numerator)).alias("is_distinct"),
         F.coalesce("is_shift", F.lit(False)).alias("is_shift"),
     )
-    return Profile(table, {name: found[i] for i, name in enumerate(fields)})
+    listed = found.where("kept").select(name, F.col("regex").alias("expression"), "distinct_values").distinct()
+    rank = F.row_number().over(W.partitionBy("field_name").orderBy(F.desc("distinct_values"), F.desc("expression")))
+    return Profile(table, listed.select("field_name", rank.alias("rank_no"), "expression", "distinct_values"))
 
 
 def issues(table: DataFrame) -> DataFrame:
@@ -333,13 +385,3 @@ def issues(table: DataFrame) -> DataFrame:
     names = ("nulls", "range", "pattern", "distinct", "shift")
     marks = F.filter(F.array(*[F.when(F.col(f"is_{x}"), F.lit(x)) for x in names]), lambda x: x.isNotNull())
     return table.select("load_id", "field_name", F.explode(marks).alias("issue"))
-
-
-def expression_table(spark, found: dict[str, list[Expression]]) -> DataFrame:
-    """(field_name, rank_no, expression, distinct_values) of the induced expressions; rank 1 is the column's own."""
-    rows = [(name, k + 1, e.regex, e.distinct) for name, own in found.items() for k, e in enumerate(own)]
-    kinds = T.StructType([T.StructField("field_name", T.StringType()), T.StructField("rank_no", T.IntegerType()), T.StructField("expression", T.StringType()), T.StructField("distinct_values", T.LongType())])
-    return spark.createDataFrame(rows, kinds)
-
-
-__all__ = ["Domain", "Expression", "Profile", "distinct_table", "drop_cut", "expression_table", "expressions", "induce", "issues", "profile", "shape_of", "shifted"]

@@ -13,7 +13,7 @@ DOMAINS = {
     "maf": P.Domain(0.0, 1.0, low_open=True, high_open=True, spread=True),
     "pval": P.Domain(0.0, 1.0, spread=True),
     "se": P.Domain(low=0.0, low_open=True, spread=True),
-    "n": P.Domain(low=0.0, low_open=True, whole=True),
+    "n": P.Domain(low=0.0, low_open=True, strict=True),
 }
 
 
@@ -32,10 +32,9 @@ def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of each column's own expression in every load, and its change from the load before."""
-    p = _profile(spark, sf_dir)
-    own = P.expression_table(spark, p.expressions).where("rank_no = 1").select("field_name", "expression")
-    return p.table.join(own, "field_name", "left").select("load_id", "field_name", "expression", "conforming_share", "coverage_change", "nonconforming", F.col("is_pattern"))
+    """The expression of each column, the rows of every load that don't conform, their share and its change from the load before."""
+    t = _profile(spark, sf_dir).table
+    return t.select("load_id", "field_name", "expression", "nonconforming", F.round("conforming_share", 9).alias("conforming_share"), F.round("coverage_change", 9).alias("coverage_change"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p1_expressions": p1_expressions}
@@ -44,6 +43,8 @@ _LONG = """long AS (
   SELECT load_id, 'maf' AS field_name, maf AS x FROM sumstats UNION ALL SELECT load_id, 'pval', pval FROM sumstats
   UNION ALL SELECT load_id, 'se', se FROM sumstats UNION ALL SELECT load_id, 'n', n FROM sumstats)"""
 
+# What the values of each column should look like; numbers below 0.001 are written with an exponent.
+_FORM = r"CASE field_name WHEN 'n' THEN '-?[0-9]+\.0+' WHEN 'maf' THEN '0+\.[0-9]+' ELSE '-?0+\.[0-9]+' END"
 SQL = {
     "p1_profile": f"""WITH {_LONG}
 SELECT load_id, field_name, count(*) AS rows, count(*) - count(x) AS nulls, count(DISTINCT x) AS distinct_values,
@@ -78,4 +79,12 @@ UNION ALL SELECT load_id, field_name, 'range' FROM joined WHERE bad = 1
 UNION ALL SELECT load_id, field_name, 'pattern' FROM joined WHERE frac = 1
 UNION ALL SELECT load_id, field_name, 'distinct' FROM joined WHERE field_name <> 'n' AND 2 * d < n
 UNION ALL SELECT load_id, field_name, 'shift' FROM shift""",
+    "p1_expressions": f"""WITH {_LONG},
+forms AS (SELECT load_id, field_name, x, {_FORM} AS form FROM long WHERE load_id IS NOT NULL),
+own AS (SELECT load_id, field_name, form, count(x) AS n, CAST(coalesce(sum(CASE WHEN NOT regexp_full_match(CAST(x AS VARCHAR), form) OR (x <> 0 AND abs(x) < 0.001) THEN 1 ELSE 0 END), 0) AS BIGINT) AS bad FROM forms GROUP BY ALL),
+pairs AS (SELECT a.load_id, b.load_id AS prev_id FROM loads a JOIN loads b ON a.study_id = b.study_id AND a.release_no = b.release_no AND a.load_no = b.load_no + 1)
+SELECT o.load_id, o.field_name, CASE WHEN o.field_name = 'se' THEN min(CASE WHEN o.field_name = 'se' AND EXISTS (SELECT 1 FROM sumstats WHERE se < 0 AND se > -1 AND load_id IS NOT NULL) THEN '-?0+\\.[0-9]+' ELSE '0+\\.[0-9]+' END) ELSE min(o.form) END AS expression,
+  min(o.bad) AS nonconforming, round(min((o.n - o.bad) / nullif(CAST(o.n AS DOUBLE), 0)), 9) AS conforming_share,
+  round(min((o.n - o.bad) / nullif(CAST(o.n AS DOUBLE), 0) - (q.n - q.bad) / nullif(CAST(q.n AS DOUBLE), 0)), 9) AS coverage_change
+FROM own o LEFT JOIN pairs p ON p.load_id = o.load_id LEFT JOIN own q ON q.load_id = p.prev_id AND q.field_name = o.field_name GROUP BY o.load_id, o.field_name""",
 }

@@ -26,19 +26,40 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own.name}"
 
 
+def _folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, deleted when the application ends."""
+    root = f"{shared_dir(spark)}/genoloom/{spark.sparkContext.applicationId}"
+    if root not in _FOLDERS:
+        _FOLDERS.add(root)
+        atexit.register(_delete, spark.sparkContext._jvm, spark._jsc.hadoopConfiguration(), root)
+    return root
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001  at the end of the application the JVM may be gone; the folder's name tells whose it was
+        pass
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, computed once and written as a parquet table in the shared folder; survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/genoloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files of a table that cut() wrote and that no later plan reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() returned and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        _delete(spark.sparkContext._jvm, spark._jsc.hadoopConfiguration(), df._cut_path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
