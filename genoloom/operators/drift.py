@@ -1,22 +1,24 @@
 """Schemas that drift between files: matching by similarity flooding, one consistent table, a list of every change.
 
-Every file's schema becomes a graph: its columns, joined to the tokens of their names, to their types, to the class of
-their values and to the object that holds them. The same graph exists for the canonical schema. Scores of pairs of nodes
-are propagated between neighbouring pairs until they no longer change; then consistent (one to one) pairs are selected.
+Every file's schema becomes a graph: objects hold fields, a field has a type, words in its name and values with a profile.
+The canonical schema is a graph of the same kind; the profiles of its fields are those of the columns, in any file, that
+bear one of their names. Scores of pairs of nodes are propagated between pairs that are joined by edges of one label in
+both graphs, until they no longer change; then consistent (one to one) pairs are selected.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.storage import cut, salted_join
+from genoloom.storage import cut, drop_cut, salted_join
 
 #: Types from narrow to wide; a column has the widest of its non-null values.
 TYPE_NAMES = ("integer", "float", "string")
@@ -34,22 +36,35 @@ def keys(name: Column) -> Column:
 
 @dataclass(frozen=True)
 class Target:
-    """A canonical column: names it is known under, the classes of value it may have, and whether it is asked for."""
+    """A canonical field: names it is known under, its type, and whether it is asked for."""
 
     name: str
     aliases: tuple[str, ...]
-    kinds: tuple[str, ...]
+    type: str = "float"
     wanted: bool = False
 
 
+#: What a profile holds, and how far two loads of one column differ at least in it.
+PROFILE = {"numeric": 0.15, "negative": 0.1, "whole": 0.15, "unit": 0.15, "log_mean": 0.35, "log_spread": 0.25, "bases": 0.15, "length": 1.0}
+#: Likeness of types: the widest of a column's values may be wider than the canonical one.
+TYPE_LIKE = {("integer", "float"): 0.6, ("float", "string"): 0.4, ("integer", "string"): 0.4}
+
+
 @dataclass(frozen=True)
 class Flooding:
-    """Weights and limits of the matching; picklable, used by the workers."""
+    """The canonical schema and the limits of the matching; picklable, used by the workers.
+
+    profiles: (mean, spread) of the profile of each target whose values are known. rounds: limit of the propagation, which
+    ends as soon as no score moves by more than `tolerance`. least: part of the best score that a pair must have.
+    contradiction: likeness below which values can't be those of a target, unless the column bears one of its names.
+    """
 
     targets: tuple[Target, ...]
-    tolerance: float = 1e-3
-    max_rounds: int = 60
-    least: float = 0.25
+    profiles: dict[str, tuple[tuple[float, ...], tuple[float, ...]]] = field(default_factory=dict)
+    tolerance: float = 1e-4
+    rounds: int = 500
+    least: float = 0.02
+    contradiction: float = 0.01
 
     def tokens(self, name: str) -> list[str]:
         parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", leaf(name))
@@ -63,8 +78,20 @@ class Flooding:
         x, y = ({f"^{s}$"[i : i + 2] for i in range(len(s) + 1)} for s in (a, b))
         return 0.9 * 2 * len(x & y) / (len(x) + len(y))
 
-    def match(self, columns: list[tuple[str, str, str]], memory: dict | None = None) -> dict[str, tuple[str, float]]:
-        """columns: (name, type, kind of value). Returns the column and score selected for each target that has one.
+    def value_likeness(self, profile: list[float] | None) -> list[float]:
+        """Likeness of a column's values to those of each target; a tenth, as of most pairs, where nothing is known."""
+        out = []
+        for t in self.targets:
+            known = self.profiles.get(t.name)
+            if profile is None or known is None:
+                out.append(0.1)
+                continue
+            d = [(p - m) ** 2 / (s * s + f * f) for p, m, s, f in zip(profile, *known, PROFILE.values())]
+            out.append(math.exp(-0.5 * sum(min(x, 25.0) for x in d) / 2))
+        return out
+
+    def match(self, columns: list[tuple[str, str, list[float] | None]], memory: dict | None = None) -> dict[str, tuple[str, float]]:
+        """columns: (name, type, profile of the values). Returns the column and score selected for each target that has one.
         memory: name likenesses kept from call to call."""
         n, m = len(columns), len(self.targets)
         if not n:
@@ -79,61 +106,60 @@ class Flooding:
             return memory[key]
 
         plain = lambda s: re.sub(r"[^a-z0-9]", "", s.lower()) or s.lower()
-        own_tokens = [self.tokens(c[0]) for c in columns]
-        words = sorted({w for t in own_tokens for w in t})
-        there_tokens = [sorted({w for a in t.aliases for w in self.tokens(a)}) for t in self.targets]
-        there_words = sorted({w for t in there_tokens for w in t})
-        kinds, there_kinds = sorted({c[2] for c in columns}), sorted({k for t in self.targets for k in t.kinds})
 
-        def first_scores(name: str) -> list[float]:
+        def named(name: str) -> list[float]:
             own = leaf(name)
             p = plain(own)
             return [1.0 if own in t.aliases else max(0.95 if p == plain(a) else 0.7 * self.near(p, plain(a)) for a in t.aliases) for t in self.targets]
 
-        # names and words recur from file to file
-        start = np.array([remembered(("name", c[0]), lambda c=c: first_scores(c[0])) for c in columns])
-
-        def edges(rows: list[list[str]], names: list[str]) -> np.ndarray:
+        def edges(rows: list[list[str]]) -> tuple[list[str], np.ndarray]:
+            """Nodes at the other end and the edges to them."""
+            names = sorted({w for r in rows for w in r})
             at = {w: k for k, w in enumerate(names)}
             e = np.zeros((len(rows), len(names)))
             for i, r in enumerate(rows):
-                for w in r:
-                    e[i, at[w]] = 1.0
-            return e
-
-        labels = []  # (edges here, edges there, first scores of the pairs of attributes)
-        like = np.array([remembered(("word", a), lambda a=a: [1.0 if a == b else 0.5 * self.near(a, b) for b in there_words]) for a in words])
-        labels.append((edges(own_tokens, words), edges(there_tokens, there_words), like))
-        same = np.array([[float(a == b) for b in there_kinds] for a in kinds])
-        labels.append((edges([[c[2]] for c in columns], kinds), edges([list(t.kinds) for t in self.targets], there_kinds), same))
-        weighted = []
-        for here, there, first in labels:  # a pair's score is shared among its neighbours of the label
-            down = (here / here.sum(0, keepdims=True)), (there / there.sum(0, keepdims=True))
-            up = (here / here.sum(1, keepdims=True)), (there / there.sum(1, keepdims=True))
-            weighted.append((down, up, first))
+                e[i, [at[w] for w in r]] = 1.0
+            return names, e
 
-        x, attrs = start.copy(), [w[2].copy() for w in weighted]
-        for _ in range(self.max_rounds):
+        # names and words recur from file to file
+        start = np.array([remembered(("name", c[0]), lambda c=c: named(c[0])) for c in columns])
+        words, word_here = edges([self.tokens(c[0]) for c in columns])
+        there_words, word_there = edges([sorted({w for a in t.aliases for w in self.tokens(a)}) for t in self.targets])
+        types, type_here = edges([[c[1]] for c in columns])
+        there_types, type_there = edges([[t.type] for t in self.targets])
+        objects, held_here = edges([[c[0].rpartition("/")[0]] for c in columns])
+        like = lambda a, b: 1.0 if a == b else TYPE_LIKE.get((b, a), 0.5 if a == "none" else 0.0)
+        labels = [  # edges of one label here and there, first scores of the pairs at their other ends
+            (word_here, word_there, np.array([remembered(("word", a), lambda a=a: [1.0 if a == b else 0.5 * self.near(a, b) for b in there_words]) for a in words])),
+            (type_here, type_there, np.array([[like(a, b) for b in there_types] for a in types])),
+            (np.eye(n), np.eye(m), np.array([self.value_likeness(c[2]) for c in columns])),
+            (held_here, np.ones((m, 1)), np.array([[1.0 / (1 + o.count("/") + (o != ""))] for o in objects])),
+        ]
+        flows = []
+        for here, there, first in labels:  # a pair's score is shared among its neighbours of the label
+            down = here / here.sum(1, keepdims=True), there / there.sum(1, keepdims=True)
+            up = here / here.sum(0, keepdims=True), there / there.sum(0, keepdims=True)
+            flows.append((down, up, first))
+        x, ends = start.copy(), [f[2].copy() for f in flows]
+        for _ in range(self.rounds):
             nx = start + x
-            for (down, up, first), y in zip(weighted, attrs):
-                nx = nx + 0.5 * (up[0] @ (first + y) @ up[1].T)
-            ny = [first + y + down[0].T @ (start + x) @ down[1] for (down, up, first), y in zip(weighted, attrs)]
-            nx, ny = nx / nx.max(), [y / max(y.max(), 1e-12) for y in ny]
-            moved = float(np.sqrt(((nx - x) ** 2).sum()))
-            x, attrs = nx, ny
+            for (_, up, first), y in zip(flows, ends):
+                nx = nx + up[0] @ (first + y) @ up[1].T
+            ny = [first + y + down[0].T @ (start + x) @ down[1] for (down, _, first), y in zip(flows, ends)]
+            # each kind of node is scaled by its own best pair
+            nx, ny = nx / max(nx.max(), 1e-12), [y / max(y.max(), 1e-12) for y in ny]
+            moved = max(float(np.abs(nx - x).max()), *[float(np.abs(a - b).max()) for a, b in zip(ny, ends)])
+            x, ends = nx, ny
             if moved < self.tolerance:
                 break
-        # values that contradict a target count against names that only resemble it; pairs are taken from the best downwards
-        for i, (_, _, kind) in enumerate(columns):
-            for j, t in enumerate(self.targets):
-                if start[i, j] < 1 and kind != "unknown" and kind not in t.kinds:
-                    x[i, j] *= 0.5
+        # pairs are taken from the best downwards; a field with another's values bears a known name or none of that target's
         found: dict[str, tuple[str, float]] = {}
         used: set[int] = set()
-        total = x + start
+        values = labels[2][2]
+        total = np.where((start < 1) & (values < self.contradiction), 0.0, x + start)
         for flat in np.argsort(-total, axis=None, kind="stable"):
             i, j = divmod(int(flat), m)
-            if i in used or self.targets[j].name in found or total[i, j] < self.least * total.max():
+            if i in used or self.targets[j].name in found or total[i, j] <= self.least * total.max():
                 continue
             used.add(i)
             found[self.targets[j].name] = (columns[i][0], float(x[i, j]))
@@ -146,32 +172,30 @@ def _numeric(text: Column) -> Column:
 
 
 def file_columns(records: DataFrame) -> DataFrame:
-    """(file_id, name, kind, width, ...) of every key of every file; keys of nested objects, however deep, are named
+    """(file_id, name, width, n, profile) of every key of every file; keys of nested objects, however deep, are named
     parent/key, with ~ and / within a key written as ~0 and ~1.
 
-    width is the widest type of the non-null values as a position in TYPE_NAMES, null without any. Payloads that are null
-    or no JSON object contribute nothing. Whole numbers beyond 64 bits count as float.
+    width is the widest type of the non-null values as a position in TYPE_NAMES, null without any. profile has the places
+    of PROFILE, null without any value. Payloads that are null or no JSON object contribute nothing. Whole numbers beyond
+    64 bits count as float.
     """
     base = records.where("file_id IS NOT NULL").select("file_id", F.try_parse_json("payload").alias("v"))
-    prefix = F.lit("").alias("prefix")
     out: DataFrame | None = None
-    level = base.select("file_id", prefix, "v").where("schema_of_variant(v) LIKE 'OBJECT%'")
+    level = base.select("file_id", F.lit("").alias("prefix"), "v").where("schema_of_variant(v) LIKE 'OBJECT%'")
     while True:
-        level.createOrReplaceTempView("__genoloom_drift")
-        pairs = level.sparkSession.sql("SELECT d.file_id, concat(d.prefix, replace(replace(e.key, '~', '~0'), '/', '~1')) AS name, e.value AS v FROM __genoloom_drift d, LATERAL variant_explode(d.v) e")
-        kind = F.schema_of_variant("v")
-        text = F.try_variant_get("v", "$", "string")
-        typed = pairs.select("file_id", "name", kind.alias("t"), text.alias("s"))
+        pairs = level.sparkSession.sql("SELECT d.file_id, concat(d.prefix, replace(replace(e.key, '~', '~0'), '/', '~1')) AS name, e.value AS v FROM {level} d, LATERAL variant_explode(d.v) e", level=level)
+        typed = pairs.select("file_id", "name", F.schema_of_variant("v").alias("t"), F.try_variant_get("v", "$", "string").alias("s"))
         typed = typed.withColumn("x", F.when(F.col("t").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.col("s").try_cast("double")).when(F.col("t") == "STRING", _numeric(F.col("s"))))
         width = F.when(F.col("t") == "VOID", None).when(F.col("t") == "BIGINT", 0).when(F.col("t").rlike("^(DECIMAL|DOUBLE|FLOAT)"), 1).otherwise(2)
-        one = F.lit(1)
+        size = F.log10(F.when(F.col("x") != 0, F.abs("x")))
+        count = lambda c: F.count(F.when(c, 1))
         stats = cut(
             typed.groupBy("file_id", "name").agg(
-                F.max(width).alias("width"), F.count(one).alias("n"), F.sum(F.when(F.col("t") == "VOID", 1).otherwise(0)).alias("nulls"),
-                F.count("x").alias("numbers"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg(F.abs("x")).alias("size"),
-                F.sum(F.when(F.col("x") == F.rint("x"), 1).otherwise(0)).alias("whole"),
-                F.sum(F.when(F.col("t").startswith("OBJECT"), 1).otherwise(0)).alias("objects"),
-                F.max(F.when(F.col("t") == "STRING", F.upper("s").rlike("^[ACGT]+$").cast("int"))).alias("bases"),
+                F.max(width).alias("width"), F.count(F.lit(1)).alias("n"), count(F.col("t") == "VOID").alias("nulls"),
+                count(F.col("t").startswith("OBJECT")).alias("objects"), F.count("x").alias("numbers"),
+                count(F.col("x") < 0).alias("negative"), count(F.col("x") == F.rint("x")).alias("whole"), count(F.col("x").between(0, 1)).alias("unit"),
+                F.avg(size).alias("log_mean"), F.stddev_pop(size).alias("log_spread"),
+                count(F.upper("s").rlike("^[ACGT]+$")).alias("bases"), F.avg(F.length("s")).alias("length"),
             ),
             "columns",
         )
@@ -180,42 +204,43 @@ def file_columns(records: DataFrame) -> DataFrame:
             break
         level = pairs.where("schema_of_variant(v) LIKE 'OBJECT%'").select("file_id", F.concat("name", F.lit("/")).alias("prefix"), "v")
     filled = F.col("n") - F.col("nulls")
-    number = F.col("numbers") >= 0.8 * filled
-    kind = (
-        F.when(filled == 0, "unknown")
-        .when(~number, F.when(F.col("bases") == 1, "allele").otherwise("text"))
-        .when((F.col("low") < 0), F.when(F.col("size") > 0.35, "score").otherwise("effect"))
-        .when((F.col("high") <= 1), F.when((F.col("high") < 0.15) & (filled > 5), "small").otherwise("unit"))
-        .when((F.col("high") <= 30) & (F.col("whole") == F.col("numbers")), "chromosome")
-        .when(F.col("high") < 400, F.when((F.col("high") < 8), "score").otherwise("centimorgan"))
-        .when((F.col("size") > 1_000_000), "position")
-        .otherwise("count")
+    share = lambda c, of: F.coalesce(F.try_divide(F.col(c), of), F.lit(0.0))
+    texts = F.col("numbers") < 0.5 * filled
+    profile = F.array(
+        share("numbers", filled), *[share(c, F.col("numbers")) for c in ("negative", "whole", "unit")], F.coalesce("log_mean", F.lit(0.0)), F.coalesce("log_spread", F.lit(0.0)),
+        share("bases", filled), F.when(texts, F.coalesce("length", F.lit(0.0))).otherwise(0.0),
     )
     # what is nothing but objects is told by its keys
-    return out.where((F.col("objects") == 0) | (F.col("objects") < filled)).select("file_id", "name", kind.alias("kind"), "width", "n")
+    return out.where((F.col("objects") == 0) | (F.col("objects") < filled)).select("file_id", "name", "width", "n", F.when(filled > 0, profile).alias("profile"))
+
+
+def with_profiles(columns: DataFrame, flooding: Flooding) -> Flooding:
+    """The canonical schema with the profiles of the columns, in any file, that bear one of its names: one row a target."""
+    names = [(a, t.name) for t in flooding.targets for a in t.aliases]
+    lookup = F.create_map(*[F.lit(x) for pair in names for x in pair])
+    own = columns.select(F.element_at(lookup, F.element_at(keys(F.col("name")), -1)).alias("target"), "profile").where("target IS NOT NULL AND profile IS NOT NULL")
+    at = lambda k: F.get("profile", F.lit(k))
+    sums = [f(at(k)).alias(f"{c}{k}") for k in range(len(PROFILE)) for c, f in (("m", F.avg), ("s", F.stddev_pop))]
+    rows = own.groupBy("target").agg(*sums).collect()
+    k = range(len(PROFILE))
+    return replace(flooding, profiles=flooding.profiles | {r.target: (tuple(r[f"m{i}"] for i in k), tuple(r[f"s{i}"] for i in k)) for r in rows})
 
 
 def correspondences(columns: DataFrame, flooding: Flooding) -> DataFrame:
     """(file_id, field_name, name, score, width) of every wanted target found in a file."""
-    files = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("name", F.coalesce("width", F.lit(-1)).alias("width"), "kind"))).alias("cols"))
+    files = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("name", F.coalesce("width", F.lit(-1)).alias("width"), "profile"))).alias("cols"))
     wanted = {t.name for t in flooding.targets if t.wanted}
     # rows are few and small, but each takes a while: a fixed number of tasks, which isn't coalesced by size
     files = files.repartition(4 * int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, dict[str, tuple[str, float]]] = {}
         memory: dict = {}
         for batch in batches:
             out = []
             for file_id, cols in zip(batch.file_id, batch.cols):
-                seen = [(c["name"], TYPE_NAMES[c["width"]] if c["width"] >= 0 else "none", c["kind"]) for c in cols]
+                seen = [(c["name"], TYPE_NAMES[c["width"]] if c["width"] >= 0 else "none", c["profile"]) for c in cols]
                 widths = {c["name"]: c["width"] for c in cols}
-                sign = tuple(seen)
-                if sign not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[sign] = flooding.match(seen, memory)
-                out += [(file_id, f, name, score, widths[name] if widths[name] >= 0 else None) for f, (name, score) in known[sign].items() if f in wanted]
+                out += [(file_id, f, name, score, widths[name] if widths[name] >= 0 else None) for f, (name, score) in flooding.match(seen, memory).items() if f in wanted]
             yield pd.DataFrame(out, columns=["file_id", "field_name", "name", "score", "width"]).astype({"width": "Int32"})
 
     kind = columns.schema["file_id"].dataType.simpleString()
@@ -259,7 +284,8 @@ def reconcile(records: DataFrame, files: DataFrame, flooding: Flooding, casts: d
     the table. Texts such as 57,950 or n=77006 are read as numbers; what can't be cast becomes null. Every record comes
     out once, repeated ones as often as they stand, those without a readable payload or file with nulls.
     """
-    matched = cut(correspondences(file_columns(records), flooding), "matched")
+    columns = file_columns(records)
+    matched = cut(correspondences(columns, with_profiles(columns, flooding)), "matched")
     wanted = list(casts)
     names = matched.groupBy("file_id").agg(*[F.max(F.when(F.col("field_name") == w, F.col("name"))).alias(f"__{w}") for w in wanted])
     names = names.select("file_id", *[keys(F.col(f"__{w}")).alias(f"__{w}") for w in wanted])
