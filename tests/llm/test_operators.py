@@ -175,6 +175,50 @@ def test_containers_hold_every_piece_once(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id int, tokens bigint"), how).count() == 0
 
 
+def test_bred_packings_need_fewer_bins_than_best_fit():
+    gained = 0
+    for seed in range(4):
+        sizes = np.random.default_rng(seed).integers(20, 71, 200)
+        island = packing.Island(sizes, packing.Breeding(capacity=100, children=30), (seed,))
+        start = island.fresh(True)
+        best = island.breed([])
+        assert np.bincount(best, sizes).max() <= 100 and len(best) == len(sizes) and best.min() == 0
+        assert best.max() <= start.max() and island.born > 0
+        gained += int(start.max() - best.max())
+    assert gained > 0
+
+
+def test_children_keep_whole_bins_of_the_other_parent():
+    sizes = np.random.default_rng(3).integers(5, 60, 120)
+    island = packing.Island(sizes, packing.Breeding(capacity=100), (3,))
+    for _ in range(20):
+        child = island.mutate(island.cross(island.fresh(False), island.fresh(False)))
+        assert np.bincount(child, sizes).max() <= 100 and (child >= 0).all()
+
+
+def test_levels_of_packing_end_and_keep_every_piece(spark):
+    rng = np.random.default_rng(5)
+    counts = [(k, int(x)) for k, x in enumerate(rng.integers(0, 130, 1500))]
+    how = packing.Breeding(capacity=100, shard_items=100, children=6)
+    out, bred = packing.breed(spark.createDataFrame(counts, "doc_id int, tokens bigint"), how)
+    got = out.toPandas()
+    assert got.groupby("doc_id").tokens.sum().to_dict() == dict(counts)
+    assert got.groupby("container_id").tokens.sum().max() <= 100
+    report = bred.toPandas()
+    assert report.level.max() > 1 and (report.bins <= report.start).all() and (report.bins >= report.least).all()
+    sizes = got.tokens[got.tokens < 100].to_numpy()
+    plain = int(packing.Island(sizes, how, (1,)).fresh(True).max()) + 1
+    assert got.container_id.nunique() - int((got.tokens == 100).sum()) <= 1.02 * plain  # shards this small lose a little
+
+
+def test_corpus_needs_fewer_containers_than_best_fit_over_all_of_it(spark):
+    counts = packing.cut(packing.token_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")), "tokens")
+    got = packing.pack(counts).select("container_id", "tokens").toPandas()
+    full = got.tokens == 2048
+    plain = int(packing.Island(got.tokens[~full].to_numpy(), packing.Breeding(), (1,)).fresh(True).max()) + 1
+    assert got.container_id.nunique() < plain + int(full.sum())
+
+
 def test_breeding_doesnt_lose_items_and_improves():
     sizes = np.random.default_rng(5).integers(20, 60, 400)
     how = packing.Breeding(capacity=100, children=60)
