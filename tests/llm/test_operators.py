@@ -245,6 +245,14 @@ def test_subjects_on_held_out_labels(spark):
     assert f1 > 0.9  # a few labels are wrong
 
 
+def test_terms_beyond_the_broadcast_ones_count_alike(spark):
+    folder = "/root/testdata/sf0.01"
+    tables = [spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "doc_labels", "subjects")]
+    docs = tables[0].unionByName(tables[0].limit(3))  # repeated ids
+    found = [sorted(tuple(r) for r in subjects.assign_subjects(docs, *tables[1:], subjects.Settings(head_terms=h, rounds=3)).collect()) for h in (10**6, 50)]
+    assert found[0] == found[1] and len(found[0]) >= docs.count()
+
+
 def test_subjects_of_empty_null_and_unlabelled(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "a b 123"), (4, "word " * 200_000)], "doc_id int, text string")
     s = spark.createDataFrame([("law", "courts"), (None, None)], "subject string, description string")
