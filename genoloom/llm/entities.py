@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.storage import cut
+from genoloom.storage import cut, small
 
 FEATURES = ("site", "allele", "frequency", "name")
 
@@ -67,7 +67,7 @@ def fit(candidates: DataFrame, rounds: int = 30, tolerance: float = 1e-4, floor:
     k = len(FEATURES)
     state: Mixture | None = None
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(state)
+        shared = spark.sparkContext.broadcast(state and (state.weight, state.mean, state.var))  # plain values: workers may lack the package
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 + 6 * k)
@@ -75,7 +75,7 @@ def fit(candidates: DataFrame, rounds: int = 30, tolerance: float = 1e-4, floor:
                 if not b.num_rows:
                     continue
                 x, group, _ = _flat(b)
-                now = shared.value
+                now = shared.value and Mixture(*shared.value)
                 seen, filled = ~np.isnan(x), np.nan_to_num(x)
                 # start: alike in more than three quarters of what can be compared
                 r = (filled.sum(1) > 0.75 * seen.sum(1)).astype(float) if now is None else now.posteriors(x, group, b.num_rows)
@@ -105,8 +105,8 @@ def fit(candidates: DataFrame, rounds: int = 30, tolerance: float = 1e-4, floor:
 
 
 def match(candidates: DataFrame, mixture: Mixture) -> DataFrame:
-    """(m, v, confidence, site, allele): each marker's best candidate. Ties go to the smaller v."""
-    shared = candidates.sparkSession.sparkContext.broadcast(mixture)
+    """(m, v, confidence): each marker's best candidate. Ties go to the smaller v."""
+    shared = candidates.sparkSession.sparkContext.broadcast((mixture.weight, mixture.mean, mixture.var))
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema["c"].dataType.elementType}
     m_kind = candidates.schema["m"].dataType.simpleString()
 
@@ -115,15 +115,13 @@ def match(candidates: DataFrame, mixture: Mixture) -> DataFrame:
             if not b.num_rows:
                 continue
             x, group, rows = _flat(b)
-            p = shared.value.posteriors(x, group, b.num_rows)
+            p = Mixture(*shared.value).posteriors(x, group, b.num_rows)
             v = rows.field("v").to_numpy(zero_copy_only=False)
             order = np.lexsort((v, -np.round(p, 9), group))
             first = order[np.unique(group[order], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("m").take(pa.array(group[first])), rows.field("v").take(pa.array(first)), pa.array(p[first]), pa.array(x[first, 0]), pa.array(x[first, 1])], names=["m", "v", "confidence", "site", "allele"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("m").take(pa.array(group[first])), rows.field("v").take(pa.array(first)), pa.array(p[first])], names=["m", "v", "confidence"])
 
-    return candidates.mapInArrow(run, f"m {m_kind}, v {kinds['v']}, confidence double, site double, allele double")
+    return candidates.mapInArrow(run, f"m {m_kind}, v {kinds['v']}, confidence double")
 
 
 def _rc(x: Column) -> Column:
@@ -152,7 +150,7 @@ def candidates(variants: DataFrame, markers: DataFrame, shifts: DataFrame) -> Da
     variants: variant_idx, chr, snp, pos, a1, a2, maf in build b1. markers: marker_id, marker_name, chr, pos, build, a1,
     a2, maf. shifts: chr, region_start, region_end, shift_bp (a fixed, small table). Other columns are ignored.
     """
-    regions = F.broadcast(shifts.where("chr IS NOT NULL").groupBy("chr").agg(F.collect_list(F.struct("region_start", "region_end", "shift_bp")).alias("regions")))
+    regions = small(shifts.where("chr IS NOT NULL").groupBy("chr").agg(F.collect_list(F.struct("region_start", "region_end", "shift_bp")).alias("regions")))
     up = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
     v = variants.where("variant_idx IS NOT NULL AND chr IS NOT NULL AND pos IS NOT NULL").join(regions, "chr", "left")
     p = F.col("pos")
@@ -213,11 +211,10 @@ def candidates(variants: DataFrame, markers: DataFrame, shifts: DataFrame) -> Da
 def match_markers(variants: DataFrame, markers: DataFrame, shifts: DataFrame, least: float = 0.5) -> DataFrame:
     """(variant_idx, marker_id, confidence): which marker is which variant, each marker once at most.
 
-    A match has a confidence of at least `least` (half as much where two candidates share it evenly), and contradicts
-    neither site nor alleles (checked exactly at the end). Null attributes are left out of the comparison; a marker with
+    A match has a confidence of at least `least` (half as much where two candidates share it evenly); nothing but the
+    mixture decides. Null attributes are left out of the comparison; a marker with
     neither site nor telling name has no candidate. Repeated markers are matched each. Empty tables give none.
     """
     table = cut(candidates(variants, markers, shifts), "pairs")
     best = match(table, fit(table))
-    good = (F.col("confidence") >= least / 2) & (F.coalesce("site", F.lit(1.0)) > 0) & (F.coalesce("allele", F.lit(1.0)) > 0)
-    return best.where(good).select(F.col("v").alias("variant_idx"), F.col("m").alias("marker_id"), "confidence")
+    return best.where(F.col("confidence") >= least / 2).select(F.col("v").alias("variant_idx"), F.col("m").alias("marker_id"), "confidence")

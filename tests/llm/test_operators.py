@@ -162,6 +162,14 @@ def test_every_tolerated_overlap_is_hit_by_a_seed(spark):
     assert r is not None and (r.run_words, r.overlap_words, r.substitutions) == (6, 16, 2)
 
 
+def test_joined_seeds_find_what_one_pass_finds(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "eval_items"))
+    twice = items.unionByName(items.limit(2)).unionByName(items.limit(1).withColumn("text", F.lit(None).cast("string")))
+    one, many = (sorted(tuple(r) for r in leaks.leaked(docs, twice, block_words=n).collect()) for n in (10**6, 1))
+    assert one == many and len(one) > 0
+
+
 # --- containers ----------------------------------------------------------------------------------------------------------
 def test_containers_hold_every_piece_once(spark):
     rng = np.random.default_rng(4)
