@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.loader import Study
-from genoloom.operators import graph, intervals, simulate
+from genoloom.operators import banded, graph, intervals, simulate
 from genoloom.sources import ldstore, sumstats, tables
 
 
@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--ld", required=True), c.add_argument("--out", required=True)
         c.add_argument("--snps"), c.add_argument("--r2", type=float, default=0.2)
         c.add_argument("--stats"), c.add_argument("--format", default="canonical"), c.add_argument("--region", action="append")
+        c.add_argument("--dense", action="store_true")
     c = sub.add_parser("simulate")
     c.add_argument("--bed", required=True), c.add_argument("--out", required=True)
     c.add_argument("--h2", type=float, default=0.2), c.add_argument("--causal", type=float, default=0.1)
@@ -54,10 +55,8 @@ def main(args: list[str] | None = None) -> None:
         listed = tables.read_snp_list(spark, a.snps).withColumn("ord", F.monotonically_increasing_id()) if a.snps else None
         if a.command == "prune":
             rank = None
-            if a.stats:
-                v, rank = graph.priority(v.join(sumstats.read_sumstats(spark, a.stats, a.format).drop("CHR", "POS", "A1", "A2"), "SNP")), "rank"
-            elif listed is not None:
-                v, rank = v.join(listed.groupBy("SNP").agg(F.min("ord").alias("rank")), "SNP", "left"), "rank"
+            if a.stats or listed is not None:
+                v, rank = graph.ordered(v, listed, sumstats.read_sumstats(spark, a.stats, a.format) if a.stats else None), "rank"
             kept = graph.prune(edges, v, a.r2**0.5, by=["chr"], rank=rank)
             tables.write_table(v.join(kept, ["chr", "i"], "left_semi").select("SNP"), a.out, header=False)
         elif a.command == "expand":
@@ -66,9 +65,12 @@ def main(args: list[str] | None = None) -> None:
         else:
             own = v if listed is None else v.join(listed, "SNP", "left_semi")
             if a.region:
-                r = spark.createDataFrame([(int(c), s, e) for c, s, e in intervals.regions(a.region)], "chr int, start_pos int, end_pos int")
+                r = spark.createDataFrame([(tables.chromosome(c), s, e) for c, s, e in intervals.regions(a.region)], "chr int, start_pos int, end_pos int")
                 own = intervals.inside(own, r, ["chr", "i"], chr_col="chr")
             ids = own.select("chr", "i", "SNP")
+            if a.dense:
+                tables.write_table(banded.dense(edges, ids, by=["chr"]), a.out)
+                return
             near = edges.join(ids.withColumnRenamed("SNP", "SNP_A"), ["chr", "i"]).join(ids.select("chr", F.col("i").alias("j"), F.col("SNP").alias("SNP_B")), ["chr", "j"])
             tables.write_table(near.select("chr", "SNP_A", "SNP_B", "r"), a.out)
     elif a.command == "simulate":

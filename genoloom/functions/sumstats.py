@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.functions.stats import div, pvalue
+from genoloom.functions.stats import div, nlog10_pvalue, pvalue
 
 
 def maf_var(maf: Column) -> Column:
@@ -31,7 +31,7 @@ def derive(df: DataFrame, wanted: list[str]) -> DataFrame:
         "BETA": lambda d: F.log("OR"),
         "Z": lambda d: div(F.col("BETA"), F.col("SE")),
         "PVAL": lambda d: pvalue("Z"),
-        "NLOG10_PVAL": lambda d: -F.log10("PVAL"),
+        "NLOG10_PVAL": lambda d: nlog10_pvalue("Z") if "Z" in d.columns or {"BETA", "SE"} <= set(d.columns) else -F.log10("PVAL"),
         "CHISQ": lambda d: F.col("Z") * F.col("Z"),
         "MAF_VAR": lambda d: maf_var(F.col("MAF")),
         "STD_BETA": lambda d: F.col("Z") / F.sqrt(F.col("N") - 1 + F.col("Z") * F.col("Z")),
@@ -40,13 +40,18 @@ def derive(df: DataFrame, wanted: list[str]) -> DataFrame:
     }
     parents = {"BETA": ["OR"], "Z": ["BETA", "SE"], "PVAL": ["Z"], "NLOG10_PVAL": ["PVAL"], "CHISQ": ["Z"], "MAF_VAR": ["MAF"], "STD_BETA": ["Z", "N"], "YY": ["BETA", "N", "SE"]}
 
+    def needed(d: DataFrame, c: str) -> list[str]:
+        """What a column is made from; -log10 of the p-value rather from Z, which has no underflow."""
+        if c == "NLOG10_PVAL" and ("Z" in d.columns or {"BETA", "SE"} <= set(d.columns)):
+            return ["Z"]
+        return parents.get(c, [])
 
     def add(d: DataFrame, c: str) -> DataFrame:
         if c in d.columns:
             return d
         if c not in rules:
             raise KeyError(c)
-        for x in parents.get(c, []):
+        for x in needed(d, c):
             d = add(d, x)
         return d.withColumn(c, rules[c](d))
 

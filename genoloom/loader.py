@@ -7,8 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoloom.functions.sumstats import derive
 from genoloom.operators import association, genotype, ld, merge, scoring
-from genoloom.sources import bed, sumstats, tables
+from genoloom.sources import bed, ldstore, sumstats, tables
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class Study:
     samples: DataFrame | None = None
     stats: DataFrame | None = None
     annotations: DataFrame | None = None
+    edges: DataFrame | None = None
 
     @classmethod
     def from_bed(cls, spark: SparkSession, path: str) -> Study:
@@ -27,8 +29,67 @@ class Study:
         variants, samples = tables.numbered(tables.read_bim(spark, path), "variant_idx"), tables.numbered(tables.read_fam(spark, path), "sample_idx")
         return cls(variants, spark.read.format("genoloom_bed").load(path), samples)
 
-    def with_stats(self, spark: SparkSession, path: str, fmt: str = "canonical") -> Study:
-        return replace(self, stats=genotype.drop_repeated(sumstats.read_sumstats(spark, path, fmt), ["SNP"]))
+    def with_stats(self, spark: SparkSession, path: str | list[str], fmt: str = "canonical", n: float | None = None, drop_repeated: bool = True) -> Study:
+        """n: sample size of a file that has none."""
+        own = sumstats.read_sumstats(spark, path, fmt)
+        own = genotype.drop_repeated(own, ["SNP"]) if drop_repeated else own
+        return replace(self, stats=own if n is None else own.withColumn("N", F.lit(float(n))))
+
+    def with_annotations(self, spark: SparkSession, path: str | list[str], ldsc: bool = False, keep: list[str] | None = None) -> Study:
+        own = tables.read_annotations(spark, path, ldsc)
+        return replace(self, annotations=own if keep is None else own.select("CHR", "SNP", "POS", *keep))
+
+    def with_phenotype(self, spark: SparkSession, path: str, drop_na: bool = True) -> Study:
+        return replace(self, samples=tables.read_phenotype(spark, self.samples, path, drop_na))._synced()
+
+    def with_covariates(self, spark: SparkSession, path: str) -> Study:
+        return replace(self, samples=tables.read_covariates(spark, self.samples, path))._synced()
+
+    def with_ld(self, spark: SparkSession, path: str, chromosome: int | None = None) -> Study:
+        """The edges of a store; without genotypes, the store's variants are those of the study."""
+        e = ldstore.read_store(spark, path, chromosome)
+        v = ldstore.read_variants(spark, path)
+        v = v if chromosome is None else v.where(F.col("chr") == chromosome)
+        return replace(self, edges=e, variants=self.variants if self.variants is not None else v.withColumnsRenamed({"chr": "CHR", "i": "variant_idx"}))
+
+    def with_values(self, phenotype: DataFrame) -> Study:
+        """samples with the phenotype of a table (IID, phenotype); samples that it lacks get null."""
+        own = phenotype.groupBy("IID").agg(F.first("phenotype").alias("phenotype"))
+        return replace(self, samples=self.samples.drop("phenotype").join(own, "IID", "left"))
+
+    def sizes(self) -> DataFrame:
+        """(samples, variants, stats, max_n): one row; 0 where there is no such source."""
+        count = lambda df: df.count() if df is not None else 0
+        most = self.stats.agg(F.max("N").cast("double")).first()[0] if self.stats is not None and "N" in self.stats.columns else None
+        spark = (self.variants if self.variants is not None else self.stats).sparkSession
+        return spark.createDataFrame([(count(self.samples), count(self.variants), count(self.stats), most)], "samples bigint, variants bigint, stats bigint, max_n double")
+
+    def shapes(self) -> DataFrame:
+        """(CHR, variants) of every chromosome."""
+        return self.variants.groupBy("CHR").agg(F.count(F.lit(1)).alias("variants"))
+
+    def individual_table(self) -> DataFrame:
+        return self.samples.select([c for c in ("FID", "IID", "fatherID", "motherID", "sex", "phenotype") if c in self.samples.columns])
+
+    def phenotype_table(self) -> DataFrame:
+        return self.samples.select("FID", "IID", "phenotype")
+
+    def covariates_table(self, names: list[str] | None = None) -> DataFrame:
+        known = ("FID", "IID", "fatherID", "motherID", "sex", "phenotype", "sample_idx")
+        return self.samples.select("FID", "IID", *(names or [c for c in self.samples.columns if c not in known]))
+
+    def snp_table(self, columns: tuple[str, ...] = ("CHR", "SNP", "POS", "A1", "A2")) -> DataFrame:
+        """The wanted columns of the variants in this order; MAF, MAF_VAR, MAC and N come from the calls where they are missing."""
+        return genotype.with_counts(self.variants, self.calls, list(columns))
+
+    def stats_table(self, columns: tuple[str, ...] = ("CHR", "SNP", "POS", "A1", "A2", "MAF", "N", "BETA", "Z", "SE", "PVAL")) -> DataFrame:
+        return derive(self.stats, list(columns))
+
+    def binary_annotations(self) -> list[str]:
+        """Names of the annotations with just the values 0 and 1."""
+        names = [c for c in self.annotations.columns if c not in ("CHR", "SNP", "POS")]
+        row = self.annotations.agg(*[(F.count_distinct(c) == 2).alias(c) for c in names]).first() if names else {}
+        return [c for c in names if row[c]]
 
     def keep_variants(self, ids: DataFrame) -> Study:
         own = lambda df: None if df is None else genotype.keep_ids(df, ids, "SNP")
@@ -63,9 +124,10 @@ class Study:
 
     def score(self, mode: str = "raw") -> DataFrame:
         """Scores by BETA of the statistics, or its standardised form where BETA is missing."""
-        beta = F.col("BETA") if "BETA" in self.stats.columns else F.col("Z") / F.sqrt(F.col("N") - 1 + F.col("Z") * F.col("Z"))
+        standard = F.col("Z") / F.sqrt(F.col("N") - 1 + F.col("Z") * F.col("Z")) if {"Z", "N"} <= set(self.stats.columns) else F.lit(None).cast("double")
+        beta = F.coalesce(F.col("BETA"), standard) if "BETA" in self.stats.columns else standard
         effects = self.stats.withColumn("score", beta).join(self.variants.select("SNP", "variant_idx"), "SNP").select("variant_idx", "score")
-        return scoring.score(self.calls, effects, ["score"], mode)
+        return scoring.score(self.calls, effects, ["score"], mode, samples=self.samples)
 
     def split(self) -> dict[int, Study]:
         """One study per chromosome."""

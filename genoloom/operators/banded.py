@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from genoloom.operators.ld import mirrored
 
 
+#: Variants of one bin; running sums go over bins first.
+BIN = 4096
+
 def matvec(edges: DataFrame, vector: DataFrame, by: list[str] | None = None, lower: bool = True, upper: bool = True, diag: bool = True, shift: float = 0.0) -> DataFrame:
     """(by..., i, y) of (R + shift I) x over the chosen triangles. vector: by..., i, x, one row per variant."""
     by = by or []
@@ -76,12 +79,14 @@ def fill_gaps(edges: DataFrame, by: list[str] | None = None, strict: bool = Fals
 
 
 def row_pointer(edges: DataFrame, m: int) -> DataFrame:
-    """(i, indptr) for i in 0..m: entries stored before row i."""
+    """(i, indptr) for i in 0..m: entries stored before row i. Counts are summed by bins first, rows within their bin."""
     counts = edges.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     every = edges.sparkSession.range(m + 1).select(F.col("id").alias("i"))
-    n = every.join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
-    before = W.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    return n.select("i", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("indptr"))
+    n = every.join(counts, "i", "left").select("i", F.floor(F.col("i") / BIN).alias("bin"), F.coalesce("n", F.lit(0)).alias("n"))
+    earlier = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a row for BIN variants
+    bins = n.groupBy("bin").agg(F.sum("n").alias("s")).select("bin", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("o"))
+    before = W.partitionBy("bin").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    return n.join(bins, "bin").select("i", (F.col("o") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("indptr"))
 
 
 def leftmost(edges: DataFrame, variants: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -97,8 +102,11 @@ def apply_mask(edges: DataFrame, kept: DataFrame, by: list[str] | None = None, r
     k = kept.select(*by, "i").distinct()
     if not renumber:
         return edges.join(k, [*by, "i"], "left_semi").join(k.withColumnRenamed("i", "j"), [*by, "j"], "left_semi")
-    w = W.partitionBy(*by).orderBy("i") if by else W.orderBy("i")
-    k = k.withColumn("__n", (F.row_number().over(w) - 1).cast("bigint"))
+    k = k.withColumn("bin", F.floor(F.col("i") / BIN))
+    over = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a row for BIN variants
+    bins = k.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("s")).select(*by, "bin", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("o"))
+    place = F.row_number().over(W.partitionBy(*by, "bin").orderBy("i"))
+    k = k.join(bins, [*by, "bin"]).select(*by, "i", (F.col("o") + place - 1).cast("bigint").alias("__n"))
     a, b = k.withColumnRenamed("__n", "__i"), k.withColumnsRenamed({"i": "j", "__n": "__j"})
     return edges.join(a, [*by, "i"]).join(b, [*by, "j"]).select(*by, F.col("__i").alias("i"), F.col("__j").alias("j"), "r")
 
@@ -137,3 +145,67 @@ def assign_blocks(variants: DataFrame, size: int | None = None, dist: str | None
         return variants.withColumn("block_id", F.floor(F.col("i") / size))
     first = F.min(dist).over(W.partitionBy(*(by or [F.lit(0)])))
     return variants.withColumn("block_id", F.floor((F.col(dist) - first) / width))
+
+
+def assign_given_blocks(variants: DataFrame, ends: list[int]) -> DataFrame:
+    """variants with block_id by explicit limits: block k holds the i in [ends[k], ends[k + 1])."""
+    k = F.lit(None).cast("bigint")
+    for n in reversed(range(len(ends) - 1)):
+        k = F.when((F.col("i") >= ends[n]) & (F.col("i") < ends[n + 1]), n).otherwise(k)
+    return variants.withColumn("block_id", k)
+
+
+def block_edges(edges: DataFrame, variants: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., block_id, i, j, r) of the edges inside blocks; variants: by..., i, block_id. Grouped by block_id, each group is
+    what one step of an iteration over blocks would load."""
+    by = by or []
+    v = variants.select(*by, "i", "block_id").where("block_id IS NOT NULL")
+    w = v.select(*by, F.col("i").alias("j"), F.col("block_id").alias("__b"))
+    return edges.join(v, [*by, "i"]).join(w, [*by, "j"]).where("block_id = __b").select(*by, "block_id", "i", "j", "r")
+
+
+def block_ends(variants: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., block_id, first, end, variants): limits of each block, the end exclusive."""
+    by = by or []
+    return variants.where("block_id IS NOT NULL").groupBy(*by, "block_id").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("end"), F.count(F.lit(1)).alias("variants"))
+
+
+def slices(df: DataFrame, value: str, idx: str = "i") -> DataFrame:
+    """(value, first, end): the run of indices of each value; equal values must stand next to each other."""
+    return df.groupBy(value).agg(F.min(idx).alias("first"), (F.max(idx) + 1).alias("end"))
+
+
+def from_ragged(rows: DataFrame) -> DataFrame:
+    """Strict upper triangle of ragged rows (i, start, values): values[k] belongs to column start + k."""
+    return rows.select("i", "start", F.posexplode("values").alias("__k", "r")).select("i", (F.col("start") + F.col("__k")).cast("bigint").alias("j"), "r").where("i < j")
+
+
+def rows_of(edges: DataFrame, start: int, end: int, symmetric: bool = False, diagonal: bool = False) -> DataFrame:
+    """(i, j, r) of rows [start, end): right of the diagonal, or with the left side and the diagonal if asked."""
+    own = (F.col("i") >= start) & (F.col("i") < end)
+    out = edges.where(own).select("i", "j", "r")
+    if symmetric:
+        out = out.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "r").where(own))
+    if diagonal:
+        out = out.unionByName(edges.sparkSession.range(start, end).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("r")))
+    return out
+
+
+def compressed(edges: DataFrame) -> DataFrame:
+    """(i, columns, values): the rows in compressed form, sorted; what a sparse matrix holds between two row pointers."""
+    c = F.sort_array(F.collect_list(F.struct("j", "r")))
+    return edges.groupBy("i").agg(c.alias("c")).select("i", F.col("c.j").alias("columns"), F.col("c.r").alias("values"))
+
+
+def dense(edges: DataFrame, variants: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., i, SNP, values): every row of the block-diagonal matrix of the variants (by..., i, SNP) in full, its columns in
+    the order of the variants. Meant for regions: a row is as long as its chromosome has variants here."""
+    by = by or []
+    ids = variants.select(*by, "i", "SNP").distinct()
+    both = edges.unionByName(edges.select(*[c for c in edges.columns if c not in ("i", "j", "r")], F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    every = ids.groupBy(*by).agg(F.sort_array(F.collect_list("i")).alias("__all")) if by else ids.agg(F.sort_array(F.collect_list("i")).alias("__all"))
+    near = both.join(ids.select(*by, "i"), [*by, "i"]).join(ids.select(*by, F.col("i").alias("j")), [*by, "j"]).groupBy(*by, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "r"))).alias("__m"))
+    rows = ids.join(every, by) if by else ids.join(F.broadcast(every))  # one row
+    rows = rows.join(near, [*by, "i"], "left")
+    value = lambda j: F.when(j == F.col("i"), F.lit(1.0)).otherwise(F.coalesce(F.try_element_at("__m", j), F.lit(0.0)))
+    return rows.select(*by, "i", "SNP", F.transform("__all", value).alias("values"))

@@ -251,9 +251,10 @@ def changes(files: DataFrame, matched: DataFrame, wanted: list[str]) -> DataFram
     """(file_id, field_name, change_kind): added, removed, renamed and retyped against the file before in the feed.
 
     files: file_id, feed, seq_no (gapless within a feed; rows with a null in these are no part of any feed). The first
-    file of a feed has no changes. A field without any non-null value has no type and is never retyped.
+    file of a feed has no changes. A field without any non-null value has no type and is never retyped. Of files with one
+    number in a feed the one with the largest file_id counts, as sent again.
     """
-    order = files.select("file_id", "feed", "seq_no").dropna().dropDuplicates(["feed", "seq_no"])
+    order = files.select("file_id", "feed", "seq_no").dropna().groupBy("feed", "seq_no").agg(F.max("file_id").alias("file_id"))
     steps = order.join(order.select("feed", (F.col("seq_no") + 1).alias("seq_no"), F.col("file_id").alias("prev_id")), ["feed", "seq_no"])
     grid = steps.select("file_id", "prev_id", F.explode(F.array(*[F.lit(w) for w in wanted])).alias("field_name"))
     now = matched.select("file_id", "field_name", "name", "width")

@@ -77,3 +77,19 @@ def tumbling(df: DataFrame, pos: str, size: int, step: int | None = None, by: li
     hi = F.least(F.floor(off / step), top)
     lo = F.least(F.greatest(F.floor((off - size) / step) + 1, F.lit(0)), hi)
     return df.withColumn("__hi", hi).withColumn("__lo", lo).withColumn("window_no", F.explode(F.sequence("__lo", "__hi"))).drop("__hi", "__lo")
+
+
+def with_counts(variants: DataFrame, calls: DataFrame | None, wanted: list[str]) -> DataFrame:
+    """The wanted columns of variants in this order; MAF, N, MAC and MAF_VAR are derived from the calls where they are missing."""
+    derived = {"MAF": F.col("MAF"), "N": F.col("N"), "MAC": F.col("N") * 2 * F.col("MAF"), "MAF_VAR": 2 * F.col("MAF") * (1 - F.col("MAF"))}
+    missing = [c for c in wanted if c not in variants.columns]
+    if any(c not in derived for c in missing):
+        raise KeyError(", ".join(c for c in missing if c not in derived))
+    if not missing:
+        return variants.select(*wanted)
+    have = variants.columns
+    base = variants.drop(*[c for c in ("MAF", "N") if c in have and "variant_idx" not in have])
+    needed = [c for c in ("MAF", "N") if c not in base.columns]
+    if needed:
+        base = base.join(allele_frequency(calls).select("variant_idx", *needed), "variant_idx", "left")
+    return base.select(*[derived[c].alias(c) if c in missing else F.col(c) for c in wanted])

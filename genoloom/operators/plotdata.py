@@ -13,10 +13,11 @@ GENOME_WIDE = -math.log10(0.05 / 1e6)
 
 
 def manhattan(stats: DataFrame) -> DataFrame:
-    """(CHR, POS, x, NLOG10_PVAL): positions laid end to end by chromosome. stats: CHR, POS, PVAL."""
+    """(CHR, POS, x, NLOG10_PVAL): positions laid end to end by chromosome. stats: CHR, POS, and NLOG10_PVAL or PVAL."""
     ends = stats.groupBy("CHR").agg(F.max("POS").cast("bigint").alias("__m"))
     offset = ends.select("CHR", F.coalesce(F.sum("__m").over(W.orderBy("CHR").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return stats.join(F.broadcast(offset), "CHR").select("CHR", "POS", (F.col("POS") + F.col("__o")).alias("x"), (-F.log10("PVAL")).alias("NLOG10_PVAL"))
+    y = F.col("NLOG10_PVAL") if "NLOG10_PVAL" in stats.columns else -F.log10("PVAL")
+    return stats.join(F.broadcast(offset), "CHR").select("CHR", "POS", (F.col("POS") + F.col("__o")).alias("x"), y.alias("NLOG10_PVAL"))
 
 
 def qq(stats: DataFrame, p: str = "PVAL") -> DataFrame:

@@ -12,12 +12,13 @@ from genoloom.operators.genotype import allele_frequency
 from genoloom.storage import salted_join
 
 
-def score(calls: DataFrame, effects: DataFrame, betas: list[str], mode: str = "raw", frequencies: DataFrame | None = None) -> DataFrame:
+def score(calls: DataFrame, effects: DataFrame, betas: list[str], mode: str = "raw", frequencies: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """(sample_idx, betas...): sum of dosage times effect over variants, for each column of effects.
 
     Missing dosages: raw counts them as 0, impute as twice the frequency; standardize uses (g - 2p) / sqrt(2p(1 - p)) with
     missing ones and constant variants as 0. frequencies: variant_idx, MAF; by default those of the calls. Variants whose
-    effects are all zero or null are never joined.
+    effects are all zero or null are dropped before the join, with their calls. samples: sample_idx; those without a score
+    come out with 0. By default all samples that have calls.
     """
     if mode not in ("raw", "impute", "standardize"):
         raise ValueError(mode)
@@ -35,8 +36,9 @@ def score(calls: DataFrame, effects: DataFrame, betas: list[str], mode: str = "r
     else:
         var = 2 * F.col("__p") * (1 - F.col("__p"))
         g = F.when(F.col("dosage").isNull() | (var <= 0), 0.0).otherwise((F.col("dosage") - 2 * F.col("__p")) / F.sqrt(var))
-    joined = salted_join(rows, e, ["variant_idx"], "left")
-    return joined.groupBy("sample_idx").agg(*[F.coalesce(F.sum(g * F.col(b)), F.lit(0.0)).alias(b) for b in betas])
+    sums = salted_join(rows, e, ["variant_idx"]).groupBy("sample_idx").agg(*[F.sum(g * F.col(b)).alias(b) for b in betas])
+    every = (samples if samples is not None else calls).select("sample_idx").distinct()
+    return every.join(sums, "sample_idx", "left").select("sample_idx", *[F.coalesce(b, F.lit(0.0)).alias(b) for b in betas])
 
 
 def predict(scores: DataFrame, column: str, likelihood: str = "gaussian") -> DataFrame:

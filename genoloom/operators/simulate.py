@@ -64,15 +64,36 @@ def annotated_pi(variants: DataFrame, pi: float, fold: dict[str, float]) -> Data
 
 
 def cohort_effects(variants: DataFrame, rho: np.ndarray, seed: int, shared: float = 1.0, key: str = "variant_idx") -> DataFrame:
-    """variants (h2, causal) with BETA_k for each cohort: correlated by rho; a share of causal variants is common to all."""
+    """variants (h2, causal) with BETA_k and causal_k for each cohort: effects correlated by rho.
+
+    The first cohort has the causal variants as they are. A share of them, the same in all other cohorts, is common; of
+    each of the rest, every other cohort has as many of its own, chosen among the variants that aren't causal in the first.
+    """
     low = np.linalg.cholesky(np.asarray(rho, float))
     draws = [hash_normal(seed + 11 * k, F.col(key)) for k in range(len(low))]
-    common = hash_uniform(seed + 5, F.col(key)) < shared
-    out = variants
+    common = F.col("causal") & (hash_uniform(seed + 5, F.col(key)) < shared)
+    # the share of the others that a cohort switches on makes up for what isn't shared; they get the mean variance
+    counts = variants.agg(F.count(F.when(F.col("causal"), 1)).alias("__c"), F.count(F.when(~F.col("causal"), 1)).alias("__o"), F.avg(F.when(F.col("causal"), F.col("h2"))).alias("__h"))
+    out = variants.join(F.broadcast(counts))  # one row
+    own_share = F.least(F.coalesce(F.try_divide((1 - shared) * F.col("__c"), F.col("__o")), F.lit(0.0)), F.lit(1.0))
     for k in range(len(low)):
         mix: Column = sum((float(low[k, q]) * draws[q] for q in range(k + 1)), F.lit(0.0))
-        out = out.withColumn(f"BETA_{k}", F.when(F.lit(k == 0) | common, F.sqrt("h2") * mix).otherwise(0.0))
-    return out
+        own = F.lit(False) if k == 0 else ~F.col("causal") & (hash_uniform(seed + 101 * k, F.col(key)) < own_share)
+        kept = F.col("causal") if k == 0 else common
+        out = out.withColumn(f"causal_{k}", kept | own).withColumn(f"BETA_{k}", F.when(kept, F.sqrt("h2") * mix).when(own, F.sqrt("__h") * mix).otherwise(0.0))
+    return out.drop("__c", "__o", "__h")
+
+
+def set_causal(variants: DataFrame, chosen: DataFrame, on: str = "SNP") -> DataFrame:
+    """variants with component 1 for the chosen ones and 0 for the others, in place of a random mixture."""
+    marks = chosen.select(on).distinct().withColumn("__in", F.lit(1))
+    return variants.join(marks, on, "left").withColumn("component", F.coalesce("__in", F.lit(0))).drop("__in")
+
+
+def set_effects(variants: DataFrame, given: DataFrame, on: str = "SNP") -> DataFrame:
+    """variants with the given BETA (0 where there is none) and causal."""
+    own = given.groupBy(on).agg(F.first("BETA").alias("__b"))
+    return variants.drop("BETA", "causal").join(own, on, "left").withColumn("BETA", F.coalesce("__b", F.lit(0.0))).withColumn("causal", F.col("BETA") != 0).drop("__b")
 
 
 def tree_correlation(parents: DataFrame, depth: str = "length", rounds: int = 64) -> DataFrame:

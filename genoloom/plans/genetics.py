@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.functions import stats as S
 from genoloom.functions.sumstats import derive
 from genoloom.operators import association, banded, genotype, graph, intervals, ld, merge, phenotype, plotdata, scoring, simulate, spectral
+from genoloom.plans.checks import with_erfc
 from genoloom.plans.views import duck, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def with_log(df: DataFrame) -> DataFrame:
+    """Association results with -log10 of the p-value, which shows what rounding hides."""
+    return rounded(df.withColumn("NLOG10_PVAL", F.round(S.nlog10_pvalue("Z"), 4)))
+
+
 def lettered(v: Callable[[str], DataFrame]) -> DataFrame:
     """The panel of 64 variants with integer keys."""
     return v("variants64").withColumn("variant_idx", F.col("variant_idx").cast("bigint"))
@@ -66,18 +72,18 @@ tot AS (SELECT avg(y) AS my FROM y), yc AS (SELECT sample_idx, y - my AS yc FROM
 s AS (SELECT variant_idx, count(dosage) AS n, CAST(sum(dosage) AS DOUBLE) AS sx, CAST(sum(dosage * dosage) AS DOUBLE) AS sxx, sum(dosage * yc) AS sxy, sum(yc) AS sy FROM calls JOIN yc USING (sample_idx) WHERE dosage IS NOT NULL GROUP BY variant_idx),
 c AS (SELECT *, sxx - sx * sx / n AS cc, sxy - sx / n * sy AS d FROM s),
 x AS (SELECT variant_idx, n, sx / (2 * n) AS maf, {xy} AS xy, {xx} AS xx FROM c),
-b AS (SELECT *, xy / xx AS beta FROM x), e AS (SELECT *, sqrt(greatest(yy - beta * xy, 0) / (n - 2) / xx) AS se FROM b, syy), z AS (SELECT *, beta / se AS z FROM e)
-SELECT variant_idx, n AS N, round(maf, 6) AS MAF, round(beta, 6) AS BETA, round(se, 6) AS SE, round(z, 6) AS Z, round({S.pvalue_sql("z")}, 6) AS PVAL FROM z"""
+b AS (SELECT *, xy / xx AS beta FROM x), e AS (SELECT *, sqrt(greatest(yy - beta * xy, 0) / (n - 2) / xx) AS se FROM b, syy), z AS (SELECT *, beta / se AS z FROM e), {with_erfc("w", "z", "z")}
+SELECT variant_idx, n AS N, round(maf, 6) AS MAF, round(beta, 6) AS BETA, round(se, 6) AS SE, round(z, 6) AS Z, round(PV, 6) AS PVAL, round(NL, 4) AS NLOG10_PVAL FROM w"""
 
 
 @query(_gwas_sql("d", "cc"), "calls samples")
 def gwas_linear(v):
-    return rounded(association.linear(v("calls"), v("samples")))
+    return with_log(association.linear(v("calls"), v("samples")))
 
 
 @query(_gwas_sql("d * sqrt(n / cc)", "CAST(n AS DOUBLE)"), "calls samples")
 def gwas_standardized(v):
-    return rounded(association.linear(v("calls"), v("samples"), standardize=True))
+    return with_log(association.linear(v("calls"), v("samples"), standardize=True))
 
 
 @query()
@@ -91,13 +97,14 @@ def inflation_factor(v):
 
 
 @query(
-    f"""WITH a AS (SELECT *, BETA / SE AS Z FROM sumstats_v WHERE N > 2)
-SELECT SNP, round(Z, 6) AS Z, round({S.pvalue_sql("Z")}, 6) AS PVAL, round(Z * Z, 6) AS CHISQ, round(2 * MAF * (1 - MAF), 6) AS MAF_VAR, round(Z / sqrt(N - 1 + Z * Z), 6) AS STD_BETA,
+    f"""WITH b AS (SELECT *, BETA / SE AS Z FROM sumstats_v WHERE N > 2), {with_erfc("a", "b", "Z")}
+SELECT SNP, round(Z, 6) AS Z, round(PV, 6) AS PVAL, round(NL, 4) AS NLOG10_PVAL, round(Z * Z, 6) AS CHISQ, round(2 * MAF * (1 - MAF), 6) AS MAF_VAR, round(Z / sqrt(N - 1 + Z * Z), 6) AS STD_BETA,
   round((N - 2) * SE * SE + BETA * BETA, 6) AS YY, CAST(sign(BETA) AS DOUBLE) AS SIGN FROM a""",
     "sumstats_v",
 )
 def sumstats_derive(v):
-    return rounded(derive(v("sumstats_v").where("N > 2"), ["SNP", "Z", "PVAL", "CHISQ", "MAF_VAR", "STD_BETA", "YY", "SIGN"]))
+    d = derive(v("sumstats_v").where("N > 2"), ["SNP", "Z", "PVAL", "NLOG10_PVAL", "CHISQ", "MAF_VAR", "STD_BETA", "YY", "SIGN"])
+    return rounded(d.withColumn("NLOG10_PVAL", F.round("NLOG10_PVAL", 4)))
 
 
 @query("SELECT POS FROM vars GROUP BY POS HAVING count(*) = 1", "vars")
@@ -115,11 +122,6 @@ def exclude_ids(v):
     return genotype.drop_ids(v("vars"), v("intervals").select("id"), "idx").select("SNP", "CHR")
 
 
-@query()
-def packed_genotypes(v):
-    return genotype.packed(v("calls")).select("variant_idx", F.size("dosages").alias("n"))
-
-
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 _MERGE = """m AS (
@@ -409,9 +411,9 @@ def pgs_standardize(v):
     return rounded(scoring.score(v("calls"), betas(v), ["s1", "s2"], "standardize"))
 
 
-@query(f"WITH {_BETAS}, s AS (SELECT sample_idx, sum(coalesce(dosage, 0) * s2) AS s FROM calls JOIN b USING (variant_idx) GROUP BY sample_idx) SELECT sample_idx, round({S.norm_cdf_sql('s')}, 6) AS prediction FROM s", "calls variants64")
+@query(f"WITH {_BETAS}, s AS (SELECT sample_idx, sum(coalesce(dosage, 0) * s2) AS s FROM calls JOIN b USING (variant_idx) GROUP BY sample_idx), {with_erfc('n', 's', 's')} SELECT sample_idx, round(CASE WHEN s < 0 THEN PV / 2 ELSE 1 - PV / 2 END, 5) AS prediction FROM n", "calls variants64")
 def predict_binomial(v):
-    return rounded(scoring.predict(scoring.score(v("calls"), betas(v), ["s2"]), "s2", "binomial"))
+    return rounded(scoring.predict(scoring.score(v("calls"), betas(v), ["s2"]), "s2", "binomial"), 5)
 
 
 @query("SELECT sample_idx, round((phenotype - avg(phenotype) OVER ()) / stddev_pop(phenotype) OVER (), 6) AS phenotype FROM samples", "samples")
@@ -451,13 +453,6 @@ def enrichment(v):
     return rounded(association.enrichment(a, ["big", "quarter"]))
 
 
-@query("SELECT SNP, round(sqrt(1 / (0.8 * N) - 1.0 / N), 6) AS noise, round(CAST(0.8 AS DOUBLE) * N, 6) AS train_n, round((1 - CAST(0.8 AS DOUBLE)) * N, 6) AS test_n FROM sumstats_v WHERE N > 0", "sumstats_v")
-def pumas_split(v):
-    s = v("sumstats_v").where("N > 0").withColumn("STD_BETA", F.lit(0.0))
-    out = simulate.train_test(s, 0.8, 1, "idx")
-    return rounded(out.select("SNP", F.sqrt(1 / (0.8 * F.col("N")) - 1 / F.col("N")).alias("noise"), "train_n", "test_n"))
-
-
 @query()
 def simulate_phenotype(v):
     return rounded(simulate.simulate(v("calls"), v("variants64"), 0.5, (0.5, 0.5), (0.0, 1.0), 7)[1])
@@ -476,18 +471,9 @@ def svd_blocks(v):
     return rounded(spectral.singular_values(ld.estimate(v("calls"), lettered(v), "sample", tile=16), variants, 5))
 
 
-def _p(z: str = "BETA / SE") -> str:
-    return f"greatest({S.pvalue_sql(z)}, CAST(1e-300 AS DOUBLE))"
-
-
-def with_p(v) -> DataFrame:
-    floor: Column = F.greatest(F.col("PVAL"), F.lit(1e-300))
-    return derive(v("vars"), ["SNP", "CHR", "POS", "BETA", "SE", "PVAL"]).withColumn("PVAL", floor)
-
-
-@query(f"WITH m AS (SELECT CHR, CAST(max(POS) AS BIGINT) AS m FROM vars GROUP BY CHR), o AS (SELECT CHR, coalesce(sum(m) OVER (ORDER BY CHR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM m) SELECT CHR, POS, CAST(POS + o AS BIGINT) AS x, round(-log10({_p()}), 4) AS NLOG10_PVAL FROM vars JOIN o USING (CHR)", "vars")
+@query(f"WITH m AS (SELECT CHR, CAST(max(POS) AS BIGINT) AS m FROM vars GROUP BY CHR), o AS (SELECT CHR, coalesce(sum(m) OVER (ORDER BY CHR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM m), {with_erfc('w', 'vars', 'BETA / SE')} SELECT CHR, POS, CAST(POS + o AS BIGINT) AS x, round(NL, 4) AS NLOG10_PVAL FROM w JOIN o USING (CHR)", "vars")
 def manhattan_data(v):
-    return rounded(plotdata.manhattan(with_p(v)), 4)
+    return rounded(plotdata.manhattan(derive(v("vars"), ["SNP", "CHR", "POS", "BETA", "SE", "NLOG10_PVAL"])), 4)
 
 
 @query("SELECT round(-log10(count(*) OVER (ORDER BY MAF RANGE UNBOUNDED PRECEDING) / CAST(count(*) OVER () AS DOUBLE)), 6) AS expected, round(-log10(MAF), 6) AS observed FROM vars", "vars")

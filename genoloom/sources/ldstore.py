@@ -7,7 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import Window as W
+
 from genoloom.functions.stats import dequantize, quantize
+from genoloom.operators.banded import apply_mask, rows_of
+from genoloom.operators.intervals import outside
+from genoloom.operators.ld import ld_scores, window_size
 
 
 def write_store(path: str, edges: DataFrame, variants: DataFrame, attributes: dict, bits: int | None = 16) -> None:
@@ -39,6 +44,30 @@ def read_store(spark: SparkSession, path: str, chromosome: int | None = None, ro
     return e if raw or bits is None else e.withColumn("r", dequantize(F.col("r"), bits))
 
 
+def read_rows(spark: SparkSession, path: str, chromosome: int, start: int, end: int, symmetric: bool = False, diagonal: bool = False) -> DataFrame:
+    """(i, j, r) of rows [start, end) of one chromosome, as in banded.rows_of."""
+    e = read_store(spark, path, chromosome)
+    # entries left of the diagonal of these rows stand in earlier rows, so that all rows up to the last are read
+    return rows_of(e.where(F.col("i") < end), start, end, symmetric, diagonal)
+
+
+def snp_table(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """The store's variants with LDScore and WindowSize; n: samples that the correlations come from, by default the store's."""
+    v, e = read_variants(spark, path), read_store(spark, path)
+    n = n or attributes(spark, path).get("n")
+    scores = ld_scores(e, v, n, by=["chr"]).select("chr", "i", "LDScore")
+    sizes = window_size(e, v, by=["chr"]).select("chr", "i", F.col("window_size").alias("WindowSize"))
+    return v.join(scores, ["chr", "i"]).join(sizes, ["chr", "i"])
+
+
+def outside_regions(spark: SparkSession, path: str, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, variants) of a store without the variants in regions (chr, start_pos, end_pos), numbered anew."""
+    v = outside(read_variants(spark, path), regions, ["chr", "i"], chr_col="chr")
+    e = apply_mask(read_store(spark, path), v, by=["chr"])
+    numbers = v.select("chr", "i").withColumn("__n", F.row_number().over(W.partitionBy("chr").orderBy("i")) - 1)
+    return e, v.join(numbers, ["chr", "i"]).drop("i").withColumnRenamed("__n", "i")
+
+
 def validate(spark: SparkSession, path: str) -> None:
     """Raises unless entries are right of the diagonal, contiguous, unique, at most 1 in size, and of listed variants."""
     e, v = read_store(spark, path), read_variants(spark, path).select("chr", "i")

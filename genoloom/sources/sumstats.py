@@ -20,7 +20,9 @@ FORMATS = {
     "ssf": {"chromosome": "CHR", "base_pair_location": "POS", "rsid": "SNP", "effect_allele": "A1", "other_allele": "A2", "beta": "BETA", "standard_error": "SE", "effect_allele_frequency": "MAF", "p_value": "PVAL", "n": "N"},
     "saige": {"MarkerID": "SNP", "Allele1": "A2", "Allele2": "A1", "AF_Allele2": "MAF", "AC_Allele2": "MAC", "Tstat": "Z", "p.value": "PVAL"},
 }
-ALIASES = {"plink": "plink1.9", "plink1": "plink1.9", "gwas-catalog": "ssf", "gcta": "fastgwa"}
+#: Other names of the formats; plink alone is its second version.
+ALIASES = {"plink": "plink2", "plink1": "plink1.9", "gwas-catalog": "ssf", "gwascatalog": "ssf", "gwas-ssf": "ssf", "gcta": "fastgwa"}
+#: Groups of columns, of each the first that is wholly there must not be missing.
 KEYS = (("SNP", "A1"), ("CHR", "POS", "A1"))
 EFFECTS = (("BETA", "SE"), ("Z",), ("PVAL", "BETA"), ("PVAL", "OR"), ("PVAL", "Z"), ("CHISQ", "BETA"), ("CHISQ", "OR"), ("CHISQ", "Z"))
 

@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Numbers of the chromosomes that have letters.
+LETTERED = {"x": 23, "y": 24, "xy": 25, "m": 26, "mt": 26}
+
+
+def chromosome(name: str) -> int | None:
+    """Number of a chromosome: 7, chr7, X, chrMT; null for what is none."""
+    own = name.lower().removeprefix("chr")
+    return LETTERED.get(own, int(own) if own.isdigit() else None)
+
+
+def chromosome_column(name: Column) -> Column:
+    own = F.regexp_replace(F.lower(name), "^chr", "")
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LETTERED.items() for x in pair]), own), own.try_cast("int"))
+
+
 def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(f): the whitespace-separated fields of every line that isn't empty."""
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).where("size(f) > 0 AND f[0] <> ''")
@@ -42,8 +57,8 @@ def _drop_empty(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
     """CHR, SNP, cM, POS, A1, A2 of a .bim file (a .bed path is understood)."""
     path = path[:-4] + ".bim" if path.endswith(".bed") else path
-    kinds = [("CHR", "int"), ("SNP", "string"), ("cM", "float"), ("POS", "int"), ("A1", "string"), ("A2", "string")]
-    return _fields(spark, path).select(*[_at(i).try_cast(t).alias(n) for i, (n, t) in enumerate(kinds)])
+    kinds = [("SNP", "string"), ("cM", "float"), ("POS", "int"), ("A1", "string"), ("A2", "string")]
+    return _fields(spark, path).select(chromosome_column(_at(0)).alias("CHR"), *[_at(i + 1).try_cast(t).alias(n) for i, (n, t) in enumerate(kinds)])
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +88,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """chr, start_pos, end_pos from the first three columns of a BED file; chr prefixes go, lines that don't fit too."""
-    df = _fields(spark, path).select(F.regexp_replace(F.lower(_at(0)), "^chr", "").try_cast("int").alias("chr"), _at(1).try_cast("int").alias("start_pos"), _at(2).try_cast("int").alias("end_pos"))
+    df = _fields(spark, path).select(chromosome_column(_at(0)).alias("chr"), _at(1).try_cast("int").alias("start_pos"), _at(2).try_cast("int").alias("end_pos"))
     return df.dropna()
 
 

@@ -46,6 +46,11 @@ def _delete(jvm, conf, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder, for files of other formats."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, computed once and written as a parquet table in the shared folder; survives the loss of executors."""
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
