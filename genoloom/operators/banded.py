@@ -143,8 +143,10 @@ def assign_blocks(variants: DataFrame, size: int | None = None, dist: str | None
     """variants with block_id: runs of `size` variants, or of `width` along the column `dist`."""
     if size:
         return variants.withColumn("block_id", F.floor(F.col("i") / size))
-    first = F.min(dist).over(W.partitionBy(*(by or [F.lit(0)])))
-    return variants.withColumn("block_id", F.floor((F.col(dist) - first) / width))
+    keys = by or []
+    first = variants.groupBy(*keys).agg(F.min(dist).alias("__first"))
+    placed = variants.join(first, keys) if keys else variants.join(F.broadcast(first))  # one row
+    return placed.withColumn("block_id", F.floor((F.col(dist) - F.col("__first")) / width)).drop("__first")
 
 
 def assign_given_blocks(variants: DataFrame, ends: list[int]) -> DataFrame:

@@ -71,12 +71,15 @@ def tumbling(df: DataFrame, pos: str, size: int, step: int | None = None, by: li
     A last window that would hold less than `size` is absorbed by the one before; a span below `size` is one window.
     """
     step = step or size
-    first, last = (f(pos).over(W.partitionBy(*(by or [F.lit(0)]))) for f in (F.min, F.max))
+    keys = by or []
+    ends = df.groupBy(*keys).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"))
+    df = df.join(ends, keys) if keys else df.join(F.broadcast(ends))  # one row
+    first, last = F.col("__first"), F.col("__last")
     top = F.greatest(F.ceil((last - first - size) / step), F.lit(1)) - 1
     off = F.col(pos) - first
     hi = F.least(F.floor(off / step), top)
     lo = F.least(F.greatest(F.floor((off - size) / step) + 1, F.lit(0)), hi)
-    return df.withColumn("__hi", hi).withColumn("__lo", lo).withColumn("window_no", F.explode(F.sequence("__lo", "__hi"))).drop("__hi", "__lo")
+    return df.withColumn("__hi", hi).withColumn("__lo", lo).withColumn("window_no", F.explode(F.sequence("__lo", "__hi"))).drop("__hi", "__lo", "__first", "__last")
 
 
 def with_counts(variants: DataFrame, calls: DataFrame | None, wanted: list[str]) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
+#: Samples of one matrix product.
+SAMPLE_BLOCK = 16_384
 
 
 def position_bounds(variants: DataFrame, dist: str, d: float, by: str = "chr", idx: str = "variant_idx") -> DataFrame:
@@ -18,19 +19,30 @@ def position_bounds(variants: DataFrame, dist: str, d: float, by: str = "chr", i
     # a range frame needs a whole number or decimal; scaled to keep fractions of a map unit
     scale = 1 if dict(variants.dtypes)[dist] in ("int", "bigint", "smallint") else 10**6
     key = F.rint(F.col(dist) * scale).cast("bigint") if scale > 1 else F.col(dist).cast("bigint")
-    w = W.partitionBy(by).orderBy("__d").rangeBetween(-int(round(d * scale)), int(round(d * scale)))
-    return variants.withColumn("__d", key).withColumn("v_start", F.min(idx).over(w)).withColumn("v_end", F.max(idx).over(w) + 1).drop("__d")
+    reach = int(round(d * scale))
+    # all within reach stand in a variant's own bin or in one beside it, so that a chromosome is divided
+    own = F.floor(key / max(reach, 1))
+    rows = variants.withColumn("__d", key).withColumn("__own", own).withColumn("__bin", F.explode(F.array(own - 1, own, own + 1)))
+    w = W.partitionBy(by, "__bin").orderBy("__d").rangeBetween(-reach, reach)
+    bounds = rows.withColumn("v_start", F.min(idx).over(w)).withColumn("v_end", F.max(idx).over(w) + 1)
+    return bounds.where("__own = __bin").drop("__d", "__own", "__bin")
+
+
+def _ends(variants: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """variants with __lo and __hi: the ends of the index within the keys."""
+    ends = variants.groupBy(*keys).agg(F.min(idx).alias("__lo"), F.max(idx).alias("__hi"))
+    return variants.join(ends, keys)
 
 
 def count_bounds(variants: DataFrame, size: int, by: str = "chr", idx: str = "variant_idx") -> DataFrame:
     """Bounds by number of variants: size - 1 neighbours to either side at most."""
-    w = W.partitionBy(by)
-    return variants.withColumn("v_start", F.greatest(F.col(idx) - (size - 1), F.min(idx).over(w))).withColumn("v_end", F.least(F.col(idx) + size, F.max(idx).over(w) + 1))
+    v = _ends(variants, [by], idx)
+    return v.select(*variants.columns, F.greatest(F.col(idx) - (size - 1), "__lo").alias("v_start"), F.least(F.col(idx) + size, F.col("__hi") + 1).alias("v_end"))
 
 
 def block_bounds(variants: DataFrame, block: str = "block_start", by: str = "chr", idx: str = "variant_idx") -> DataFrame:
-    w = W.partitionBy(by, block)
-    return variants.withColumn("v_start", F.min(idx).over(w)).withColumn("v_end", F.max(idx).over(w) + 1)
+    v = _ends(variants, [by, block], idx)
+    return v.select(*variants.columns, F.col("__lo").alias("v_start"), (F.col("__hi") + 1).alias("v_end"))
 
 
 def shrinkage_distance(ne: float, n: int, cutoff: float) -> float:
@@ -50,52 +62,72 @@ def tightest(variants: DataFrame, bounds: list[DataFrame], idx: str = "variant_i
     return out.select(*variants.columns, start.alias("v_start"), end.alias("v_end"))
 
 
-def centred(calls: DataFrame) -> DataFrame:
-    """(variant_idx, samples, x, ss, n): observed dosages less their mean, their sum of squares; missing ones count as mean."""
-    rows = calls.where("dosage IS NOT NULL").groupBy("variant_idx").agg(F.avg("dosage").alias("m"), F.sort_array(F.collect_list(F.struct("sample_idx", F.col("dosage").cast("double").alias("g")))).alias("c"))
-    x = F.transform("c.g", lambda g: g - F.col("m"))
-    return rows.select("variant_idx", F.col("c.sample_idx").alias("samples"), x.alias("x")).withColumn("ss", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+def centred(calls: DataFrame, sample_block: int = SAMPLE_BLOCK) -> DataFrame:
+    """(variant_idx, part, at, g, m, ss, n): observed dosages of each block of samples as bytes at their places in it, and the
+    variant's mean, sum of squares about it and number of observed calls. sample_idx is a whole number from 0."""
+    seen = calls.where("dosage IS NOT NULL")
+    g = F.col("dosage").cast("double")
+    sums = seen.groupBy("variant_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(g).alias("s"), F.sum(g * g).alias("q"))
+    stats = sums.select("variant_idx", (F.col("s") / F.col("n")).alias("m"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("ss"), "n")
+    cells = F.collect_list(F.struct(F.pmod("sample_idx", F.lit(sample_block)).cast("int").alias("at"), F.col("dosage").cast("tinyint").alias("g")))
+    lists = seen.groupBy("variant_idx", F.floor(F.col("sample_idx") / sample_block).alias("part")).agg(cells.alias("c"))
+    return lists.join(stats, "variant_idx").select("variant_idx", "part", F.col("c.at").alias("at"), F.col("c.g").alias("g"), "m", "ss", "n")
 
 
-def banded(calls: DataFrame, bounds: DataFrame, by: str = "chr", tile: int = 256, impute: bool = True, idx: str = "variant_idx") -> DataFrame:
+def banded(calls: DataFrame, bounds: DataFrame, by: str = "chr", tile: int = 256, impute: bool = True, idx: str = "variant_idx", sample_block: int = SAMPLE_BLOCK) -> DataFrame:
     """(chr, i, j, r) for j in [i + 1, v_end of i).
 
-    bounds: idx, chr, v_end. Variants are laid out in tiles of neighbouring ones; a tile meets itself and the tiles its
-    band reaches, and each pair of tiles is one matrix product. Memory of a task is two tiles, whatever the number of
-    variants. impute: missing calls count as the mean and r is over all samples; else means, variances and products are
-    over observed calls and r is over the calls observed in both. Constant variants have r = 0.
+    bounds: idx, chr, v_end. Variants are laid out in tiles of neighbouring ones, samples in blocks; a tile meets itself and
+    the tiles its band reaches, and each pair of tiles is one matrix product for a block of samples, which are added up.
+    Memory of a task is two tiles of one block, whatever the number of variants and samples. impute: missing calls count
+    as the mean and r is over all samples; else means, variances and products are over observed calls and r is over the
+    calls observed in both. Constant variants have r = 0.
     """
-    x = centred(calls).join(bounds.select(F.col(idx).alias("variant_idx"), F.col(by).alias("chr"), "v_end"), "variant_idx")
-    x = x.withColumn("t", F.floor(F.col("variant_idx") / tile)).withColumn("t_end", F.floor((F.col("v_end") - 1) / tile))
-    reach = x.groupBy("chr", "t").agg(F.max("t_end").alias("reach"))
-    grid = reach.select("chr", F.col("t").alias("a"), F.explode(F.sequence("t", F.greatest("t", "reach"))).alias("b"))
-    left = x.join(grid.withColumnRenamed("a", "t"), ["chr", "t"]).select("chr", F.col("t").alias("a"), "b", "variant_idx", "samples", "x", "ss", "v_end", F.lit(0).alias("side"))
-    right = x.join(grid.where("a <> b").withColumnRenamed("b", "t"), ["chr", "t"]).select("chr", "a", F.col("t").alias("b"), "variant_idx", "samples", "x", "ss", "v_end", F.lit(1).alias("side"))
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "variant_idx"])
-        every = np.unique(np.concatenate(pdf.samples.to_list()))
-        dense, seen = np.zeros((len(pdf), len(every))), np.zeros((len(pdf), len(every)), bool)
-        for k, (s, v) in enumerate(zip(pdf.samples, pdf.x)):
-            at = np.searchsorted(every, s)
-            dense[k, at], seen[k, at] = v, True
-        ss, number, side = pdf.ss.to_numpy(), seen.sum(1), pdf.side.to_numpy() == 0
+    x = centred(calls, sample_block).join(bounds.select(F.col(idx).alias("variant_idx"), F.col(by).alias("chr"), "v_end"), "variant_idx")
+    x = x.withColumn("t", F.floor(F.col("variant_idx") / tile))
+    reach = bounds.select(F.col(by).alias("chr"), F.floor(F.col(idx) / tile).alias("t"), F.floor((F.col("v_end") - 1) / tile).alias("e")).groupBy("chr", "t").agg(F.max("e").alias("reach"))
+    cells = ["variant_idx", "at", "g", "m", "ss", "n", "v_end"]
+    # every row goes to the pairs of tiles that its tile is in, on either side
+    sides = F.explode(F.sequence("t", F.greatest("t", "reach")))
+    left = x.join(reach, ["chr", "t"]).select("chr", F.col("t").alias("a"), sides.alias("b"), "part", *cells, F.lit(0).alias("side"))
+    back = reach.select("chr", F.col("t").alias("a"), sides.alias("t")).where("a <> t")
+    right = x.join(back, ["chr", "t"]).select("chr", "a", F.col("t").alias("b"), "part", *cells, F.lit(1).alias("side"))
+    kind = x.schema["chr"].dataType
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("side", "ascending"), ("variant_idx", "ascending")])
+        get = lambda c: table.column(c).to_numpy()
+        lists = table.column("at").combine_chunks()
+        offs = lists.offsets.to_numpy()
+        row = np.repeat(np.arange(len(table)), np.diff(offs))
+        every, place = np.unique(lists.values.to_numpy()[offs[0] : offs[-1]], return_inverse=True)
+        g = table.column("g").combine_chunks()
+        g = g.values.to_numpy()[g.offsets[0].as_py() : g.offsets[-1].as_py()]
+        dense = np.zeros((len(table), len(every)))
+        dense[row, place] = g - get("m")[row]
+        side = get("side") == 0
         a = np.flatnonzero(side)
         b = a if side.all() else np.flatnonzero(~side)
-        xy = dense[a] @ dense[b].T
+        i, j = get("variant_idx")[a], get("variant_idx")[b]
+        p, q = np.nonzero((j[None, :] > i[:, None]) & (j[None, :] < get("v_end")[a][:, None]))
+        xy = (dense[a] @ dense[b].T)[p, q]
+        ss, n = get("ss"), get("n")
         if impute:
-            scale = np.sqrt(np.outer(ss[a], ss[b]))
+            joint, scale = np.zeros(len(p)), np.sqrt(ss[a][p] * ss[b][q])
         else:
-            joint = seen[a].astype(float) @ seen[b].T.astype(float)
-            scale = np.sqrt(np.outer(ss[a] / number[a], ss[b] / number[b])) * joint
-        r = np.where(scale > 1e-12, xy / np.where(scale > 1e-12, scale, 1), 0.0)
-        i, j = pdf.variant_idx.to_numpy()[a], pdf.variant_idx.to_numpy()[b]
-        keep = (j[None, :] > i[:, None]) & (j[None, :] < pdf.v_end.to_numpy()[a][:, None])
-        p, q = np.nonzero(keep)
-        return pd.DataFrame({"chr": pdf.chr.iloc[0], "i": i[p], "j": j[q], "r": r[p, q]})
-
-    kind = x.schema["chr"].dataType.simpleString()
-    return left.unionByName(right).groupBy("chr", "a", "b").applyInPandas(product, f"chr {kind}, i bigint, j bigint, r double")
+            seen = np.zeros(dense.shape, np.float32)
+            seen[row, place] = 1
+            joint = (seen[a] @ seen[b].T)[p, q].astype(float)
+            scale = np.sqrt((ss[a] / n[a])[p] * (ss[b] / n[b])[q])
+        chr_ = pa.repeat(table.column("chr")[0], len(p))
+        return pa.table([chr_, pa.array(i[p].astype(np.int64)), pa.array(j[q].astype(np.int64)), pa.array(xy), pa.array(joint), pa.array(scale)], names=["chr", "i", "j", "xy", "joint", "scale"])
+
+    parts = left.unionByName(right).groupBy("chr", "a", "b", "part").applyInArrow(product, f"chr {kind.simpleString()}, i bigint, j bigint, xy double, joint double, scale double")
+    last = calls.agg(F.max("sample_idx")).first()[0] or 0
+    if last >= sample_block:  # else each pair of variants has one part
+        parts = parts.groupBy("chr", "i", "j").agg(F.sum("xy").alias("xy"), F.sum("joint").alias("joint"), F.max("scale").alias("scale"))
+    scale = F.col("scale") if impute else F.col("scale") * F.col("joint")
+    return parts.select("chr", "i", "j", F.when(scale > 1e-12, F.col("xy") / scale).otherwise(0.0).alias("r"))
 
 
 def pairwise(calls: DataFrame, pairs: DataFrame, impute: bool = True) -> DataFrame:

@@ -122,6 +122,28 @@ def exclude_ids(v):
     return genotype.drop_ids(v("vars"), v("intervals").select("id"), "idx").select("SNP", "CHR")
 
 
+# The same over a panel that grows with the tables: one call of ten to a hundred thousand samples in a few variants each.
+
+
+@query(f"WITH {_FREQ.replace('calls', 'calls_big')} SELECT variant_idx, N, round(MAF, 6) AS MAF, round(2 * MAF * (1 - MAF), 6) AS MAF_VAR FROM freq", "calls_big")
+def big_allele_frequency(v):
+    return rounded(genotype.allele_frequency(v("calls_big")))
+
+
+@query(_gwas_sql("d", "cc").replace("calls", "calls_big").replace("FROM samples", "FROM samples_big"), "calls_big samples_big")
+def big_gwas_linear(v):
+    return with_log(association.linear(v("calls_big"), v("samples_big")))
+
+
+@query("""WITH g AS (SELECT sample_idx, variant_idx, dosage - avg(dosage) OVER (PARTITION BY variant_idx) AS x FROM calls_big),
+ss AS (SELECT variant_idx, sum(x * x) AS s FROM g GROUP BY variant_idx),
+xy AS (SELECT a.variant_idx AS i, b.variant_idx AS j, sum(a.x * b.x) AS p FROM g a JOIN g b ON a.sample_idx = b.sample_idx AND b.variant_idx > a.variant_idx AND b.variant_idx < a.variant_idx + 20 GROUP BY 1, 2)
+SELECT u.chr, CAST(u.variant_idx AS BIGINT) AS i, CAST(w.variant_idx AS BIGINT) AS j, round(coalesce(p / sqrt(a.s * b.s), 0), 6) AS r FROM variants_big u JOIN variants_big w ON w.chr = u.chr AND w.variant_idx > u.variant_idx AND w.variant_idx < u.variant_idx + 20
+JOIN ss a ON a.variant_idx = u.variant_idx JOIN ss b ON b.variant_idx = w.variant_idx LEFT JOIN xy ON xy.i = u.variant_idx AND xy.j = w.variant_idx""", "calls_big variants_big")
+def big_ld_windowed(v):
+    return rounded(ld.estimate(v("calls_big"), v("variants_big"), "windowed", size=20))
+
+
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 _MERGE = """m AS (

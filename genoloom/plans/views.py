@@ -16,6 +16,9 @@ DUCK_CALLS = _CALLS.format(unnest="SELECT vec_id, CAST(unnest(range(64)) AS INTE
 
 #: Views in the order of their dependence. D marks whole-number division, written differently by the two engines.
 VIEWS = {
+    "calls_big": "SELECT l_orderkey AS sample_idx, l_suppkey AS variant_idx, CAST(max(l_linenumber) % 3 AS INTEGER) AS dosage FROM lineitem GROUP BY l_orderkey, l_suppkey",
+    "samples_big": "SELECT o_orderkey AS sample_idx, CAST(o_totalprice AS DOUBLE) / 1000 AS phenotype FROM orders",
+    "variants_big": "SELECT s_suppkey AS variant_idx, CAST(1 + {dfive} AS INTEGER) AS chr, CAST(100 * s_suppkey AS INTEGER) AS pos, CAST(s_suppkey AS DOUBLE) / 100 AS cm FROM supplier",
     "samples": "SELECT vec_id AS sample_idx, CAST(label + (vec_id % 17) / CAST(10 AS DOUBLE) AS DOUBLE) AS phenotype, CAST(vec_id % 2 AS DOUBLE) AS covar_1, CAST(vec_id % 5 AS DOUBLE) AS covar_2, CAST(label % 2 AS INTEGER) AS status FROM embeddings",
     "variants64": "SELECT variant_idx, CAST(1 + {d32} AS INTEGER) AS chr, CAST(1000 * (variant_idx % 32) + (variant_idx * 37) % 500 AS INTEGER) AS pos, (1000 * (variant_idx % 32) + (variant_idx * 37) % 500) / CAST(10000 AS DOUBLE) AS cm, CONCAT('v', CAST(variant_idx AS STRING)) AS snp FROM (SELECT DISTINCT variant_idx FROM calls)",
     "vars": "SELECT p_partkey AS idx, CONCAT('rs', CAST(p_partkey AS STRING)) AS SNP, CAST(1 + p_partkey % 22 AS INTEGER) AS CHR, CAST(1000 * {d22} + p_size AS INTEGER) AS POS, substr('ACGT', CAST(1 + p_size % 4 AS INTEGER), 1) AS A1, substr('ACGT', CAST(1 + (p_size + 1 + p_partkey % 3) % 4 AS INTEGER), 1) AS A2, (p_retailprice - 1000) / CAST(1000 AS DOUBLE) AS BETA, CAST(0.01 AS DOUBLE) + p_size / CAST(100 AS DOUBLE) AS SE, CAST(0.01 AS DOUBLE) + (p_partkey % 49) / CAST(100 AS DOUBLE) AS MAF FROM part",
@@ -27,10 +30,10 @@ VIEWS = {
     "edges": "SELECT a.CHR AS chr, a.i AS i, b.i AS j, ((a.i * 7919 + b.i * 104729) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS r FROM ranked a JOIN (SELECT CHR, i, explode_i AS lo FROM (SELECT CHR, i, {explode} AS explode_i FROM ranked)) b ON a.CHR = b.CHR AND a.i = b.lo",
     "annot": "SELECT SNP, CHR, POS, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS big, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS quarter, p_retailprice / CAST(1000 AS DOUBLE) AS price FROM part JOIN vars ON idx = p_partkey",
 }
-_SPARK = {"d32": "variant_idx div 32", "d22": "(p_partkey div 22)", "dblock": "(POS div 10000)", "explode": "explode(sequence(greatest(i - 8, 0), i))"}
-_DUCK = {"d32": "variant_idx // 32", "d22": "(p_partkey // 22)", "dblock": "(POS // 10000)", "explode": "unnest(range(greatest(i - 8, 0), i + 1))"}
+_SPARK = {"dfive": "(s_suppkey div 500)", "d32": "variant_idx div 32", "d22": "(p_partkey div 22)", "dblock": "(POS div 10000)", "explode": "explode(sequence(greatest(i - 8, 0), i))"}
+_DUCK = {"dfive": "(s_suppkey // 500)", "d32": "variant_idx // 32", "d22": "(p_partkey // 22)", "dblock": "(POS // 10000)", "explode": "unnest(range(greatest(i - 8, 0), i + 1))"}
 #: The generated edges need i < j; filtered here so that both engines explode alike.
-_TABLES = ("embeddings", "part", "lineitem", "supplier")
+_TABLES = ("embeddings", "part", "lineitem", "orders", "supplier")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,17 +8,19 @@ samples and variants. Filters on variant_idx, and a list of samples as an option
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: Start of a file with variants as rows; dosage of A1 for each two-bit code, -1 for missing.
 MAGIC = bytes([0x6C, 0x1B, 0x01])
 DOSAGES = np.array([2, -1, 1, 0], np.int8)
+#: Calls of one batch of rows.
+BATCH_CALLS = 200_000
 
 
 def lookup() -> np.ndarray:
@@ -27,9 +29,21 @@ def lookup() -> np.ndarray:
     return DOSAGES[codes]
 
 
+def _open(path: str):
+    """A file of any file system that the workers reach by its address; a plain path is a local one. It can be sought in."""
+    if "://" in path:
+        fs, own = pafs.FileSystem.from_uri(path)
+        return fs.open_input_file(own)
+    return pafs.LocalFileSystem().open_input_file(path)
+
+
 def _lines(path: str) -> int:
-    with open(path, "rb") as f:
-        return sum(1 for x in f if x.strip())
+    count, rest = 0, b""
+    with _open(path) as f:
+        while chunk := f.read(1 << 20):
+            *lines, rest = (rest + chunk).split(b"\n")
+            count += sum(1 for x in lines if x.strip())
+    return count + bool(rest.strip())
 
 
 class Range(InputPartition):
@@ -40,7 +54,7 @@ class Range(InputPartition):
 
 class BedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         base = self.path.removesuffix(".bed")
         self.samples, self.variants = _lines(base + ".fam"), _lines(base + ".bim")
         self.stride = -(-self.samples // 4)
@@ -48,10 +62,11 @@ class BedReader(DataSourceReader):
         self.keep = np.array(sorted({int(x) for x in keep.split(",")}), np.int64) if keep else None
         self.mb = int(options.get("blockMb", 32))
         self.low, self.high = 0, self.variants
-        with open(self.path, "rb") as f:
+        with _open(self.path) as f:
             if f.read(3) != MAGIC:
                 raise ValueError(f"{self.path} is no file of genotypes by variant")
-        if os.path.getsize(self.path) != 3 + self.stride * self.variants:
+            size = f.size()
+        if size != 3 + self.stride * self.variants:
             raise ValueError(f"{self.path} doesn't fit its fam and bim files")
 
     def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
@@ -74,15 +89,16 @@ class BedReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         table = lookup()
         at = self.keep if self.keep is not None else np.arange(self.samples)
-        with open(self.path, "rb") as f:
+        several = max(1, BATCH_CALLS // max(1, len(at)))
+        with _open(self.path) as f:
             f.seek(3 + partition.start * self.stride)
-            for v in range(partition.start, partition.end):
-                row = np.frombuffer(f.read(self.stride), np.uint8)
+            for first in range(partition.start, partition.end, several):
+                count = min(several, partition.end - first)
+                rows = np.frombuffer(f.read(count * self.stride), np.uint8).reshape(count, self.stride)
                 # only the bytes with chosen samples are decoded
-                g = table[row[at // 4], at % 4]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at), pa.array(np.full(len(at), v, np.int64)), pa.array(g, mask=g < 0)], names=["sample_idx", "variant_idx", "dosage"]
-                )
+                g = table[rows[:, at // 4], at % 4].ravel()
+                variants = np.repeat(np.arange(first, first + count, dtype=np.int64), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(at, count)), pa.array(variants), pa.array(g, mask=g < 0)], names=["sample_idx", "variant_idx", "dosage"])
 
 
 class BedSource(DataSource):
