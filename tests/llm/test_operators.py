@@ -274,6 +274,22 @@ V = "variant_idx bigint, chr int, snp string, pos int, a1 string, a2 string, maf
 M = "marker_id bigint, marker_name string, chr string, pos int, build string, a1 string, a2 string, maf double, snp string"
 
 
+def test_several_candidates_exclude_each_other(spark):
+    """Variants that differ in nothing but the frequency, or in the name, are told apart, and each marker is one at most."""
+    rng = np.random.default_rng(8)
+    variants, markers = [], []
+    for k in range(400):
+        a1, a2 = ("A", "C") if k % 2 else ("A", "G")
+        maf = float(rng.uniform(0.05, 0.45))
+        variants.append((k, 1, f"rs{k}", 1000 + 50 * k, a1, a2, maf, None))
+        markers.append((k, f"rs{k}" if k % 3 else None, "1", 1000 + 50 * k, "b1", a1, a2, maf + float(rng.normal(0, 0.005)), None))
+        if k % 4 == 0:  # the same site and alleles once more, with another frequency
+            variants.append((1000 + k, 1, f"rs{1000 + k}", 1000 + 50 * k, a1, a2, min(0.95, maf + 0.4), None))
+    shifts = spark.createDataFrame([(1, 0, 10**6, 77)], "chr int, region_start int, region_end int, shift_bp int")
+    got = [tuple(r)[:2] for r in entities.match_markers(spark.createDataFrame(variants, V), spark.createDataFrame(markers, M), shifts).collect()]
+    assert len({m for _, m in got}) == len(got) == 400 and all(v == m for v, m in got)
+
+
 def test_markers_find_their_variants(spark):
     variants = [(k, 1 + k % 2, f"rs{1000 + k}", 1000 * k, "A", "ACG" if k % 5 == 0 else "C", 0.2, None) for k in range(1, 60)] + [(60, 1, "rs2000", 7000, "G", "T", 0.45, None), (61, None, "rs1", 1, "A", "C", 0.1, None), (62, 1, None, 8500, None, None, None, None)]
     markers = [(100 + k, "VX-1", f"chr{1 + k % 2}", 1000 * k, "b1", "A", "ACG" if k % 5 == 0 else "C", 0.21, None) for k in range(1, 60)]
