@@ -58,6 +58,20 @@ def merge_alleles(ref: DataFrame, alt: DataFrame, how: str = "inner", correct_fl
     return j.select(*key, "A1", "A2", *[value(c) for c in own])
 
 
+def orient(stats: DataFrame, ref: DataFrame) -> DataFrame:
+    """Every row of stats (its key may repeat, as in several loads) whose alleles are those of ref, turned to ref's A1.
+
+    ref has one row for each key; of more the first is used. Effects and frequencies change as in merge_alleles.
+    """
+    key = match_key(ref, stats)
+    r = _first(ref.select(*key, F.col("A1").alias("__r1"), F.col("A2").alias("__r2")), key, None)
+    j = stats.join(r, key)
+    same = (F.col("A1") == F.col("__r1")) & (F.col("A2") == F.col("__r2"))
+    flip = (F.col("A1") == F.col("__r2")) & (F.col("A2") == F.col("__r1")) & ~same
+    turned = {c: F.when(flip, -F.col(c)).otherwise(F.col(c)) for c in SIGNED} | {"MAF": F.when(flip, 1 - F.col("MAF")).otherwise(F.col("MAF")), "A1": F.col("__r1"), "A2": F.col("__r2")}
+    return j.where(same | flip).select(*[turned[c].alias(c) if c in turned else F.col(c) for c in stats.columns])
+
+
 def infer_a2(stats: DataFrame, ref: DataFrame, allow_na: bool = False) -> DataFrame:
     """stats with A2: the reference allele that A1 isn't."""
     key = match_key(stats, ref)

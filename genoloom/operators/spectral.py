@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.operators.banded import matvec
-from genoloom.storage import cut
+from genoloom.operators.banded import assign_blocks, matvec
+from genoloom.operators.intervals import outside
+from genoloom.storage import cut, drop_cut
 
 
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +77,57 @@ def largest_eigenvalue(edges: DataFrame, variants: DataFrame, rounds: int = 50,
     return value
 
 
+def extremal_of_whole(edges: DataFrame, variants: DataFrame, steps: int = 40) -> tuple[float, float]:
+    """Smallest and largest eigenvalue of a matrix that no task could hold, by Lanczos steps over the edges.
+
+    edges: i, j, r; variants: i. Each step is one product and two sums; the vectors are written tables, what comes to the
+    driver are two numbers a step. The values approach the ends of the spectrum from inside.
+    """
+    start = F.sin(F.col("i") * 12.9898 + 78.233) + 1.5
+    one = variants.select("i", start.alias("b"))
+    norm = one.agg(F.sqrt(F.sum(F.col("b") * F.col("b")))).first()[0]
+    if norm is None:
+        return 0.0, 0.0
+    now = cut(one.select("i", F.lit(0.0).alias("a"), (F.col("b") / norm).alias("b")), "lanczos")
+    alphas: list[float] = []
+    betas: list[float] = []
+    for k in range(steps):
+        w = cut(matvec(edges, now.select("i", F.col("b").alias("x"))).join(now, "i"), "lanczos")
+        alpha = w.agg(F.sum(F.col("y") * F.col("b"))).first()[0]
+        alphas.append(alpha)
+        rest = F.col("y") - alpha * F.col("b") - (betas[-1] if betas else 0.0) * F.col("a")
+        beta = w.agg(F.sqrt(F.sum(rest * rest))).first()[0]
+        if k == steps - 1 or beta < 1e-10:
+            break
+        betas.append(beta)
+        drop_cut(now)
+        now = cut(w.select("i", F.col("b").alias("a"), (rest / beta).alias("b")), "lanczos")
+        drop_cut(w)
+    t = np.diag(alphas) + np.diag(betas[: len(alphas) - 1], 1) + np.diag(betas[: len(alphas) - 1], -1)
+    values = np.linalg.eigvalsh(t)
+    return float(values[0]), float(values[-1])
+
+
+def shift_of_whole(edges: DataFrame, variants: DataFrame, ratio: float = 1e-3, steps: int = 40) -> float:
+    """The shift of lambda_min for the whole matrix."""
+    low, high = extremal_of_whole(edges, variants, steps)
+    return abs(min(low + ratio * high, 0.0)) / (1 + ratio)
+
+
+def window_spectrum(edges: DataFrame, variants: DataFrame, dist: str, width: float, regions: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """(block_id, lambda_min, lambda_max, variants, lambda_min_outside): extremal eigenvalues of blocks of 1.2 windows; the last
+    without the variants in `regions` (chr, start_pos, end_pos), whose long-range correlation a window cuts off.
+
+    variants: i, the column dist and, for regions, chr and pos.
+    """
+    v = assign_blocks(variants, dist=dist, width=1.2 * width, by=by)
+    full = extremal_eigenvalues(edges, v)
+    if regions is None:
+        return full.withColumn("lambda_min_outside", F.col("lambda_min"))
+    rest = extremal_eigenvalues(edges, outside(v, regions, ["i"], chr_col="chr", pos="pos")).select("block_id", F.col("lambda_min").alias("lambda_min_outside"))
+    return full.join(rest, "block_id", "left")
+
+
 def correlated_noise(edges: DataFrame, variants: DataFrame, seed: int) -> DataFrame:
     """(i, x): normal noise whose covariance is the correlation of its block (negative eigenvalues count as zero)."""
 

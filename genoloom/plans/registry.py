@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from genoloom.plans import feeds, genetics, lines, quality, stores
+from genoloom.plans import feeds, genetics, lines, loads, quality, stores
 
-_PARTS = (genetics, stores, quality, lines, feeds)
+_PARTS = (genetics, stores, loads, quality, lines, feeds)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}

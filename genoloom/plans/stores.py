@@ -12,10 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom import storage
+from genoloom import cli, storage
 from genoloom.functions.sumstats import derive
 from genoloom.loader import Study
-from genoloom.operators import association, banded, genotype, graph, intervals, ld, phenotype, simulate, spectral
+from genoloom.operators import association, banded, genotype, graph, intervals, ld, merge, phenotype, simulate, spectral
 from genoloom.plans.genetics import _BOTH, _FREQ, _R, _W, _greedy_sql, by_chr, lettered, rounded
 from genoloom.plans.views import duck, view
 from genoloom.sources import bed, ldstore, sumstats, tables
@@ -396,6 +396,91 @@ def lambda_min_of_variants(v):
     return rounded(spectral.lambda_min_per_variant(values, w, 0.9).select("i", "shift"))
 
 
+@query(f"{_PAIRS}, round(1 - abs(r), 6) AS lambda_min, round(1 + abs(r), 6) AS lambda_max, CASE WHEN a.pos BETWEEN 0 AND 12000 OR b.pos BETWEEN 0 AND 12000 THEN (CASE WHEN b.pos > 12000 THEN 1.0 END) ELSE round(1 - abs(r), 6) END AS lambda_min_outside FROM rr JOIN variants64 a ON a.variant_idx = i JOIN variants64 b ON b.variant_idx = j WHERE i % 2 = 0 AND j = i + 1", "calls variants64")
+def window_eigenvalues(v):
+    w = lettered(v).withColumnRenamed("variant_idx", "i")
+    regions = v.spark.createDataFrame([(1, 0, 12000), (2, 0, 12000)], "chr int, start_pos int, end_pos int")
+    e = spectral.window_spectrum(ld.estimate(v("calls"), lettered(v), "sample", tile=16), w, "i", 2 / 1.2, regions)
+    return rounded(e.select("block_id", "lambda_min", "lambda_max", "lambda_min_outside"))
+
+
+@query(f"WITH {_R} SELECT round(1 - max(abs(r)), 4) AS lambda_min, round(1 + max(abs(r)), 4) AS lambda_max FROM rr WHERE i % 2 = 0 AND j = i + 1 AND i < 8", "calls variants64")
+def eigen_whole(v):
+    """A matrix of four blocks of two variants, by steps over its edges."""
+    e = storage.cut(ld.estimate(v("calls"), lettered(v), "sample", tile=16).where("i % 2 = 0 AND j = i + 1 AND i < 8"), "edges")
+    low, high = spectral.extremal_of_whole(e, lettered(v).where("variant_idx < 8").select(F.col("variant_idx").alias("i")), 8)
+    return v.spark.createDataFrame([(round(low, 4), round(high, 4))], "lambda_min double, lambda_max double")
+
+
+@query("SELECT SNP, round(BETA / 10, 6) AS whole, round(0.8 * N, 6) AS train_n FROM sumstats_v JOIN (SELECT idx, i FROM ranked WHERE CHR = 3) USING (idx) WHERE N > 2", "sumstats_v ranked")
+def correlated_split(v):
+    """A split with correlated noise: both parts give the effect again."""
+    w = v("sumstats_v").where("N > 2").join(v("ranked").where("CHR = 3").select("idx", F.col("i").cast("bigint").alias("i")), "idx")
+    blocks = banded.assign_blocks(v("ranked").where("CHR = 3").select(F.col("i").cast("bigint").alias("i")), size=20)
+    e = v("edges").where("chr = 3").select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), (F.col("r") / 20).alias("r"))
+    out = spectral.train_test_correlated(w.withColumn("STD_BETA", F.col("BETA") / 10), e, blocks, 0.8, 3)
+    return rounded(out.select("SNP", (0.8 * F.col("train_beta") + 0.2 * F.col("test_beta")).alias("whole"), "train_n"))
+
+
+# --- commands ----------------------------------------------------------------------------------------------------------
+
+
+@query(_greedy_sql("abs(round_even(r * 32767, 0) / 32767.0) >= sqrt(CAST(0.49 AS DOUBLE))", "i").replace("SELECT chr, i FROM walk WHERE took", "SELECT SNP FROM walk JOIN (SELECT CHR AS chr, i, SNP FROM ranked) USING (chr, i) WHERE took"), "edges ranked")
+def command_prune(v):
+    out = v.path("kept")
+    cli.main(["prune", "--ld", _store(v), "--r2", "0.49", "--out", out])
+    return tables.read_snp_list(v.spark, out)
+
+
+@query(f"SELECT a.CHR AS chr, a.SNP AS SNP_A, b.SNP AS SNP_B, {_BACK} FROM edges e JOIN ranked a ON a.CHR = e.chr AND a.i = e.i JOIN ranked b ON b.CHR = e.chr AND b.i = e.j WHERE a.CHR IN (2, 5) AND a.POS BETWEEN 1000 AND 40000 AND b.POS BETWEEN 1000 AND 40000", "edges ranked")
+def command_extract(v):
+    out = v.path("part")
+    cli.main(["extract", "--ld", _store(v), "--region", "chr2:1,000-40,000", "--region", "5:1000-40000", "--out", out])
+    return rounded(v.spark.read.csv(out, sep="\t", header=True, schema="chr int, SNP_A string, SNP_B string, r double"))
+
+
+@query(f"SELECT SNP FROM ranked WHERE idx % 40 = 0 UNION SELECT b.SNP FROM (SELECT chr, i, j, {_BACK} FROM edges UNION ALL SELECT chr, j, i, {_BACK} FROM edges) e JOIN ranked a ON a.CHR = e.chr AND a.i = e.i JOIN ranked b ON b.CHR = e.chr AND b.i = e.j WHERE a.idx % 40 = 0 AND e.r * e.r > 0.5", "edges ranked")
+def command_expand(v):
+    listed, out = v.path("list"), v.path("wide")
+    tables.write_table(v("ranked").where("idx % 40 = 0").select("SNP"), listed, header=False)
+    cli.main(["expand", "--ld", _store(v), "--r2", "0.5", "--snps", listed, "--out", out])
+    return tables.read_snp_list(v.spark, out)
+
+
+@query(f"WITH {_FREQ} SELECT snp AS SNP, CAST(N AS DOUBLE) AS N, round(MAF, 6) AS MAF FROM freq JOIN variants64 USING (variant_idx)", "calls variants64")
+def command_gwas(v):
+    """Association by the command, over the panel's files, written as plink2 and read again (the phenotype is complete)."""
+    base, out = _panel(v), v.path("gwas")
+    y = v.lines(v("samples").select(F.concat(F.lit("F"), (F.col("sample_idx") % 7).cast("string")), F.concat(F.lit("I"), "sample_idx"), "phenotype"))
+    cli.main(["gwas", "--bed", base, "--pheno", y, "--out", out, "--format", "plink2"])
+    return rounded(sumstats.read_sumstats(v.spark, out, "plink2").select("SNP", "N", "MAF"))
+
+
+@query("SELECT SNP FROM vars", "vars")
+def glob_scan(v):
+    """Several files by one pattern."""
+    base = v.path("parts")
+    for k in range(2):
+        tables.write_table(v("vars").where(f"idx % 2 = {k}").select("SNP"), f"{base}/part_{k}", header=False)
+    return tables.read_snp_list(v.spark, base + "/part_*")
+
+
+@query("SELECT round(count(*) * (SELECT count(*) FROM samples) / 1048576.0, 6) AS mb, 7 AS first, 23 AS last FROM variants64", "samples variants64")
+def matrix_size(v):
+    """Megabytes of the dense matrix; and chromosome keys without their prefixes."""
+    mb = round(genotype.memory_mb(v("samples").count(), v("variants64").count(), 1), 6)
+    k = v.spark.createDataFrame([("chr_7", "CHR:23")], "a string, b string").select(merge.chromosome_key(F.col("a")).cast("int").alias("first"), merge.chromosome_key(F.col("b")).cast("int").alias("last"))
+    return k.select(F.lit(mb).alias("mb"), "first", "last")
+
+
+@query("SELECT SNP, CAST(5000 AS DOUBLE) AS N FROM vars WHERE idx % 10 <> 0", "vars")
+def study_sample_size(v):
+    """A file without sample sizes gets one for all rows."""
+    path = v.path("stats")
+    sumstats.write_sumstats(v("vars").where("idx % 10 <> 0").select("SNP", "A1", "A2", "BETA", "SE").coalesce(1), path)
+    return Study().with_stats(v.spark, path, n=5000).stats.select("SNP", "N")
+
+
 # --- loader -----------------------------------------------------------------------------------------------------------
 
 

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side may be broadcast; beyond it a shuffled join is planned.
+#: Rows and bytes (as text) up to which a lookup side may be broadcast; beyond either a shuffled join is planned.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,12 +68,13 @@ def drop_cut(*tables: DataFrame) -> None:
         _delete(spark.sparkContext._jvm, spark._jsc.hadoopConfiguration(), df._cut_path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most `rows` rows, else unchanged.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most `rows` rows and `size` bytes, else unchanged.
 
-    The count stops as soon as the bound is passed.
+    The count stops as soon as the bound of rows is passed.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    told = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return F.broadcast(df) if told[0] <= rows and (told[1] or 0) <= size else df
 
 
 def salted_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
