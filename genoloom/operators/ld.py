@@ -62,16 +62,17 @@ def tightest(variants: DataFrame, bounds: list[DataFrame], idx: str = "variant_i
     return out.select(*variants.columns, start.alias("v_start"), end.alias("v_end"))
 
 
-def centred(calls: DataFrame, sample_block: int = SAMPLE_BLOCK) -> DataFrame:
-    """(variant_idx, part, at, g, m, ss, n): observed dosages of each block of samples as bytes at their places in it, and the
-    variant's mean, sum of squares about it and number of observed calls. sample_idx is a whole number from 0."""
+def packed_blocks(calls: DataFrame, sample_block: int, several: bool) -> DataFrame:
+    """(variant_idx, part, at, g): observed dosages of each block of samples as bytes, at their places in it; and m, ss, n, the
+    variant's mean, sum of squares about it and observed calls, if there are several blocks. sample_idx counts from 0."""
     seen = calls.where("dosage IS NOT NULL")
+    cells = F.collect_list(F.struct(F.pmod("sample_idx", F.lit(sample_block)).cast("int").alias("at"), F.col("dosage").cast("tinyint").alias("g")))
+    lists = seen.groupBy("variant_idx", F.floor(F.col("sample_idx") / sample_block).alias("part")).agg(cells.alias("c")).select("variant_idx", "part", F.col("c.at").alias("at"), F.col("c.g").alias("g"))
+    if not several:  # a variant's one list tells all
+        return lists
     g = F.col("dosage").cast("double")
     sums = seen.groupBy("variant_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(g).alias("s"), F.sum(g * g).alias("q"))
-    stats = sums.select("variant_idx", (F.col("s") / F.col("n")).alias("m"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("ss"), "n")
-    cells = F.collect_list(F.struct(F.pmod("sample_idx", F.lit(sample_block)).cast("int").alias("at"), F.col("dosage").cast("tinyint").alias("g")))
-    lists = seen.groupBy("variant_idx", F.floor(F.col("sample_idx") / sample_block).alias("part")).agg(cells.alias("c"))
-    return lists.join(stats, "variant_idx").select("variant_idx", "part", F.col("c.at").alias("at"), F.col("c.g").alias("g"), "m", "ss", "n")
+    return lists.join(sums.select("variant_idx", (F.col("s") / F.col("n")).alias("m"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("ss"), "n"), "variant_idx")
 
 
 def banded(calls: DataFrame, bounds: DataFrame, by: str = "chr", tile: int = 256, impute: bool = True, idx: str = "variant_idx", sample_block: int = SAMPLE_BLOCK) -> DataFrame:
@@ -83,15 +84,15 @@ def banded(calls: DataFrame, bounds: DataFrame, by: str = "chr", tile: int = 256
     as the mean and r is over all samples; else means, variances and products are over observed calls and r is over the
     calls observed in both. Constant variants have r = 0.
     """
-    x = centred(calls, sample_block).join(bounds.select(F.col(idx).alias("variant_idx"), F.col(by).alias("chr"), "v_end"), "variant_idx")
+    several = (calls.agg(F.max("sample_idx")).first()[0] or 0) >= sample_block
+    x = packed_blocks(calls, sample_block, several).join(bounds.select(F.col(idx).alias("variant_idx"), F.col(by).alias("chr"), "v_end"), "variant_idx")
     x = x.withColumn("t", F.floor(F.col("variant_idx") / tile))
     reach = bounds.select(F.col(by).alias("chr"), F.floor(F.col(idx) / tile).alias("t"), F.floor((F.col("v_end") - 1) / tile).alias("e")).groupBy("chr", "t").agg(F.max("e").alias("reach"))
-    cells = ["variant_idx", "at", "g", "m", "ss", "n", "v_end"]
     # every row goes to the pairs of tiles that its tile is in, on either side
-    sides = F.explode(F.sequence("t", F.greatest("t", "reach")))
-    left = x.join(reach, ["chr", "t"]).select("chr", F.col("t").alias("a"), sides.alias("b"), "part", *cells, F.lit(0).alias("side"))
-    back = reach.select("chr", F.col("t").alias("a"), sides.alias("t")).where("a <> t")
-    right = x.join(back, ["chr", "t"]).select("chr", "a", F.col("t").alias("b"), "part", *cells, F.lit(1).alias("side"))
+    pairs = reach.select("chr", F.col("t").alias("a"), F.explode(F.sequence("t", F.greatest("t", "reach"))).alias("b"))
+    one = lambda c, side: F.struct(F.col(c).alias("t"), F.lit(side).alias("side"))
+    grid = pairs.select("chr", "a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(one("a", 0))).otherwise(F.array(one("a", 0), one("b", 1)))).alias("x")).select("chr", "a", "b", "x.t", "x.side")
+    rows = x.join(grid, ["chr", "t"]).drop("t")
     kind = x.schema["chr"].dataType
 
     def product(table: pa.Table) -> pa.Table:
@@ -103,15 +104,20 @@ def banded(calls: DataFrame, bounds: DataFrame, by: str = "chr", tile: int = 256
         every, place = np.unique(lists.values.to_numpy()[offs[0] : offs[-1]], return_inverse=True)
         g = table.column("g").combine_chunks()
         g = g.values.to_numpy()[g.offsets[0].as_py() : g.offsets[-1].as_py()]
+        if several:
+            m, ss, n = get("m"), get("ss"), get("n")
+        else:
+            n = np.maximum(np.diff(offs), 1)
+            m = np.bincount(row, g, len(table)) / n
+            ss = np.bincount(row, (g - m[row]) ** 2, len(table))
         dense = np.zeros((len(table), len(every)))
-        dense[row, place] = g - get("m")[row]
+        dense[row, place] = g - m[row]
         side = get("side") == 0
         a = np.flatnonzero(side)
         b = a if side.all() else np.flatnonzero(~side)
         i, j = get("variant_idx")[a], get("variant_idx")[b]
         p, q = np.nonzero((j[None, :] > i[:, None]) & (j[None, :] < get("v_end")[a][:, None]))
         xy = (dense[a] @ dense[b].T)[p, q]
-        ss, n = get("ss"), get("n")
         if impute:
             joint, scale = np.zeros(len(p)), np.sqrt(ss[a][p] * ss[b][q])
         else:
@@ -122,9 +128,8 @@ def banded(calls: DataFrame, bounds: DataFrame, by: str = "chr", tile: int = 256
         chr_ = pa.repeat(table.column("chr")[0], len(p))
         return pa.table([chr_, pa.array(i[p].astype(np.int64)), pa.array(j[q].astype(np.int64)), pa.array(xy), pa.array(joint), pa.array(scale)], names=["chr", "i", "j", "xy", "joint", "scale"])
 
-    parts = left.unionByName(right).groupBy("chr", "a", "b", "part").applyInArrow(product, f"chr {kind.simpleString()}, i bigint, j bigint, xy double, joint double, scale double")
-    last = calls.agg(F.max("sample_idx")).first()[0] or 0
-    if last >= sample_block:  # else each pair of variants has one part
+    parts = rows.groupBy("chr", "a", "b", "part").applyInArrow(product, f"chr {kind.simpleString()}, i bigint, j bigint, xy double, joint double, scale double")
+    if several:
         parts = parts.groupBy("chr", "i", "j").agg(F.sum("xy").alias("xy"), F.sum("joint").alias("joint"), F.max("scale").alias("scale"))
     scale = F.col("scale") if impute else F.col("scale") * F.col("joint")
     return parts.select("chr", "i", "j", F.when(scale > 1e-12, F.col("xy") / scale).otherwise(0.0).alias("r"))
