@@ -183,7 +183,7 @@ class Island:
             ends = np.searchsorted(bins[order], np.arange(int(bins.max()) + 2))
             room = (capacity - np.bincount(bins, self.sizes)).astype(np.int64).tolist()
             givers = [b for b, r in enumerate(room) if r > 0]
-            if len(givers) < 2:
+            if len(givers) < 2 or sum(room) - max(room) <= self.how.waste * capacity * len(room):
                 break
             if turn % 2 or len(givers) < 12:  # full bins may take room over, which opens other ways
                 extra = self.rng.integers(0, len(room), 40).tolist()
@@ -192,8 +192,8 @@ class Island:
             index: dict[int, list[tuple[int, ...]]] = {}
             for b in givers:
                 own = order[ends[b] : ends[b + 1]].tolist()
-                if len(own) > 10:
-                    own = self.rng.choice(own, 10, replace=False).tolist()
+                if len(own) > 6:
+                    own = self.rng.choice(own, 6, replace=False).tolist()
                 held[b] = own
                 for k, x in enumerate(own):
                     index.setdefault(size[x], []).append((b, x))
@@ -270,7 +270,7 @@ class Island:
             pick = lambda: max(self.rng.integers(0, len(herd), 2).tolist(), key=lambda i: scores[i])
             child = self.cross(herd[pick()], herd[pick()])
             self.born += 1
-            if self.rng.random() < self.how.mutation:
+            if not self.solved(child) and self.rng.random() < self.how.mutation:
                 child = self.mutate(child)
             worst, own = min(range(len(herd)), key=lambda i: scores[i]), self.fitness(child)
             if own >= scores[worst]:

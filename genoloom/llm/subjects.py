@@ -200,7 +200,7 @@ def mixtures(documents: DataFrame, labels: DataFrame, subjects: list[str], descr
 
     def ready(h: DataFrame):
         """Terms and columns of the head as a broadcast, and the documents with their other entries."""
-        rows = h.join(head, "t", "left_semi").select("t", "h").toArrow()
+        rows = h.join(head, "t", "left_semi").select("t", F.col("h").cast("array<float>").alias("h")).toArrow()
         order = np.argsort(rows.column("t").to_numpy())
         table = np.asarray(rows.column("h").combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, k)[order]
         shared = spark.sparkContext.broadcast((rows.column("t").to_numpy()[order], table))
