@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--ld", required=True), c.add_argument("--out", required=True)
         c.add_argument("--snps"), c.add_argument("--r2", type=float, default=0.2)
         c.add_argument("--stats"), c.add_argument("--format", default="canonical"), c.add_argument("--region", action="append")
-        c.add_argument("--dense", action="store_true")
+        c.add_argument("--dense", action="store_true", help="extract: a line for every variant with its whole row of its chromosome's matrix")
     c = sub.add_parser("simulate")
     c.add_argument("--bed", required=True), c.add_argument("--out", required=True)
     c.add_argument("--h2", type=float, default=0.2), c.add_argument("--causal", type=float, default=0.1)
@@ -69,7 +69,8 @@ def main(args: list[str] | None = None) -> None:
                 own = intervals.inside(own, r, ["chr", "i"], chr_col="chr")
             ids = own.select("chr", "i", "SNP")
             if a.dense:
-                tables.write_table(banded.dense(edges, ids, by=["chr"]), a.out)
+                cells = F.transform("values", lambda x: x.cast("string"))
+                banded.dense(edges, ids, by=["chr"]).orderBy("chr", "i").select(F.concat_ws("\t", "chr", "SNP", cells).alias("value")).write.mode("overwrite").text(a.out)
                 return
             near = edges.join(ids.withColumnRenamed("SNP", "SNP_A"), ["chr", "i"]).join(ids.select("chr", F.col("i").alias("j"), F.col("SNP").alias("SNP_B")), ["chr", "j"])
             tables.write_table(near.select("chr", "SNP_A", "SNP_B", "r"), a.out)

@@ -46,10 +46,17 @@ class Target:
 
 #: What a profile holds, and how far two loads of one column differ at least in it.
 PROFILE = {"numeric": 0.15, "negative": 0.1, "whole": 0.15, "unit": 0.15, "log_mean": 0.35, "log_spread": 0.25, "bases": 0.15, "length": 1.0}
+#: What a label's edges carry to the fields: words, type, values, object. A name is one more word; values tell most.
+LABEL_WEIGHTS = (1.0, 1.0, 1.5, 1.0)
 #: Likeness of types: the widest of a column's values may be wider than the canonical one.
 TYPE_LIKE = {("integer", "float"): 0.6, ("float", "string"): 0.4, ("integer", "string"): 0.4}
 
 
+def content_type(kind: str, profile: list[float] | None) -> str:
+    """The type of a column's values: numbers that are written as texts count as numbers."""
+    return kind if kind != "string" or profile is None or profile[0] < 0.8 else "integer" if profile[2] > 0.95 else "float"
+
+
 @dataclass(frozen=True)
 class Flooding:
     """The canonical schema and the limits of the matching; picklable, used by the workers.
@@ -125,7 +132,7 @@ class Flooding:
         start = np.array([remembered(("name", c[0]), lambda c=c: named(c[0])) for c in columns])
         words, word_here = edges([self.tokens(c[0]) for c in columns])
         there_words, word_there = edges([sorted({w for a in t.aliases for w in self.tokens(a)}) for t in self.targets])
-        types, type_here = edges([[c[1]] for c in columns])
+        types, type_here = edges([[content_type(c[1], c[2])] for c in columns])
         there_types, type_there = edges([[t.type] for t in self.targets])
         objects, held_here = edges([[c[0].rpartition("/")[0]] for c in columns])
         like = lambda a, b: 1.0 if a == b else TYPE_LIKE.get((b, a), 0.5 if a == "none" else 0.0)
@@ -143,8 +150,8 @@ class Flooding:
         x, ends = start.copy(), [f[2].copy() for f in flows]
         for _ in range(self.rounds):
             nx = start + x
-            for (_, up, first), y in zip(flows, ends):
-                nx = nx + up[0] @ (first + y) @ up[1].T
+            for (_, up, first), y, weight in zip(flows, ends, LABEL_WEIGHTS):
+                nx = nx + weight * (up[0] @ (first + y) @ up[1].T)
             ny = [first + y + down[0].T @ (start + x) @ down[1] for (down, _, first), y in zip(flows, ends)]
             # each kind of node is scaled by its own best pair
             nx, ny = nx / max(nx.max(), 1e-12), [y / max(y.max(), 1e-12) for y in ny]
@@ -171,6 +178,36 @@ def _numeric(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"^[A-Za-z]=|(?<=[0-9]),(?=[0-9]{3})", "").try_cast("double")
 
 
+def number_stats(x: Column) -> list[Column]:
+    """What profile_of needs of a column's numbers."""
+    size = F.log10(F.when(x != 0, F.abs(x)))
+    count = lambda c: F.count(F.when(c, 1))
+    return [
+        F.count(x).alias("numbers"), count(x < 0).alias("negative"), count(x == F.rint(x)).alias("whole"), count(x.between(0, 1)).alias("unit"),
+        F.avg(size).alias("log_mean"), F.stddev_pop(size).alias("log_spread"),
+    ]
+
+
+def profile_of(filled: Column) -> Column:
+    """The profile of a column of which `filled` values aren't null, null without any."""
+    share = lambda c, of: F.coalesce(F.try_divide(F.col(c), of), F.lit(0.0))
+    texts = F.col("numbers") < 0.5 * filled
+    profile = F.array(
+        share("numbers", filled), *[share(c, F.col("numbers")) for c in ("negative", "whole", "unit")], F.coalesce("log_mean", F.lit(0.0)), F.coalesce("log_spread", F.lit(0.0)),
+        share("bases", filled), F.when(texts, F.coalesce("length", F.lit(0.0))).otherwise(0.0),
+    )
+    return F.when(filled > 0, profile)
+
+
+def reference_profiles(table: DataFrame, load: str, columns: dict[str, str], rows: int = 100_000) -> DataFrame:
+    """(target, profile) of each load of a table whose columns are known: target by name of a column of numbers. A sample of
+    labelled rows, bounded by `rows`; it only tells what the values of a field look like."""
+    stack = ", ".join(f"'{t}', CAST(`{c}` AS DOUBLE)" for t, c in columns.items())
+    long = table.select(F.col(load).alias("load"), *columns.values()).limit(rows).select("load", F.expr(f"stack({len(columns)}, {stack}) AS (target, x)")).where("x IS NOT NULL AND NOT isnan(x)")
+    stats = long.groupBy("load", "target").agg(F.count(F.lit(1)).alias("n"), *number_stats(F.col("x")), F.lit(0).alias("bases"), F.lit(0.0).alias("length"))
+    return stats.select("target", profile_of(F.col("n")).alias("profile"))
+
+
 def file_columns(records: DataFrame) -> DataFrame:
     """(file_id, name, width, n, profile) of every key of every file; keys of nested objects, however deep, are named
     parent/key, with ~ and / within a key written as ~0 and ~1.
@@ -187,14 +224,11 @@ def file_columns(records: DataFrame) -> DataFrame:
         typed = pairs.select("file_id", "name", F.schema_of_variant("v").alias("t"), F.try_variant_get("v", "$", "string").alias("s"))
         typed = typed.withColumn("x", F.when(F.col("t").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.col("s").try_cast("double")).when(F.col("t") == "STRING", _numeric(F.col("s"))))
         width = F.when(F.col("t") == "VOID", None).when(F.col("t") == "BIGINT", 0).when(F.col("t").rlike("^(DECIMAL|DOUBLE|FLOAT)"), 1).otherwise(2)
-        size = F.log10(F.when(F.col("x") != 0, F.abs("x")))
         count = lambda c: F.count(F.when(c, 1))
         stats = cut(
             typed.groupBy("file_id", "name").agg(
                 F.max(width).alias("width"), F.count(F.lit(1)).alias("n"), count(F.col("t") == "VOID").alias("nulls"),
-                count(F.col("t").startswith("OBJECT")).alias("objects"), F.count("x").alias("numbers"),
-                count(F.col("x") < 0).alias("negative"), count(F.col("x") == F.rint("x")).alias("whole"), count(F.col("x").between(0, 1)).alias("unit"),
-                F.avg(size).alias("log_mean"), F.stddev_pop(size).alias("log_spread"),
+                count(F.col("t").startswith("OBJECT")).alias("objects"), *number_stats(F.col("x")),
                 count(F.upper("s").rlike("^[ACGT]+$")).alias("bases"), F.avg(F.length("s")).alias("length"),
             ),
             "columns",
@@ -204,21 +238,17 @@ def file_columns(records: DataFrame) -> DataFrame:
             break
         level = pairs.where("schema_of_variant(v) LIKE 'OBJECT%'").select("file_id", F.concat("name", F.lit("/")).alias("prefix"), "v")
     filled = F.col("n") - F.col("nulls")
-    share = lambda c, of: F.coalesce(F.try_divide(F.col(c), of), F.lit(0.0))
-    texts = F.col("numbers") < 0.5 * filled
-    profile = F.array(
-        share("numbers", filled), *[share(c, F.col("numbers")) for c in ("negative", "whole", "unit")], F.coalesce("log_mean", F.lit(0.0)), F.coalesce("log_spread", F.lit(0.0)),
-        share("bases", filled), F.when(texts, F.coalesce("length", F.lit(0.0))).otherwise(0.0),
-    )
     # what is nothing but objects is told by its keys
-    return out.where((F.col("objects") == 0) | (F.col("objects") < filled)).select("file_id", "name", "width", "n", F.when(filled > 0, profile).alias("profile"))
+    return out.where((F.col("objects") == 0) | (F.col("objects") < filled)).select("file_id", "name", "width", "n", profile_of(filled).alias("profile"))
 
 
-def with_profiles(columns: DataFrame, flooding: Flooding) -> Flooding:
-    """The canonical schema with the profiles of the columns, in any file, that bear one of its names: one row a target."""
+def with_profiles(columns: DataFrame, flooding: Flooding, reference: DataFrame | None = None) -> Flooding:
+    """The canonical schema with the profiles of the columns, in any file, that bear one of its names, and of the reference:
+    one row a target comes to the driver."""
     names = [(a, t.name) for t in flooding.targets for a in t.aliases]
     lookup = F.create_map(*[F.lit(x) for pair in names for x in pair])
     own = columns.select(F.element_at(lookup, F.element_at(keys(F.col("name")), -1)).alias("target"), "profile").where("target IS NOT NULL AND profile IS NOT NULL")
+    own = own if reference is None else own.unionByName(reference)
     at = lambda k: F.get("profile", F.lit(k))
     sums = [f(at(k)).alias(f"{c}{k}") for k in range(len(PROFILE)) for c, f in (("m", F.avg), ("s", F.stddev_pop))]
     rows = own.groupBy("target").agg(*sums).collect()
@@ -278,15 +308,16 @@ class Drift:
     table: DataFrame
 
 
-def reconcile(records: DataFrame, files: DataFrame, flooding: Flooding, casts: dict[str, str]) -> Drift:
+def reconcile(records: DataFrame, files: DataFrame, flooding: Flooding, casts: dict[str, str], reference: DataFrame | None = None) -> Drift:
     """Matches every file's schema to the canonical one, lists the changes along each feed, and casts and unites all records.
 
     records: record_id, file_id, payload (one JSON object); other columns are ignored. casts: type of each wanted field in
     the table. Texts such as 57,950 or n=77006 are read as numbers; what can't be cast becomes null. Every record comes
-    out once, repeated ones as often as they stand, those without a readable payload or file with nulls.
+    out once, repeated ones as often as they stand, those without a readable payload or file with nulls. reference: profiles
+    of fields as reference_profiles gives them, beside those that the files' own columns with known names tell.
     """
     columns = file_columns(records)
-    matched = cut(correspondences(columns, with_profiles(columns, flooding)), "matched")
+    matched = cut(correspondences(columns, with_profiles(columns, flooding, reference)), "matched")
     wanted = list(casts)
     names = matched.groupBy("file_id").agg(*[F.max(F.when(F.col("field_name") == w, F.col("name"))).alias(f"__{w}") for w in wanted])
     names = names.select("file_id", *[keys(F.col(f"__{w}")).alias(f"__{w}") for w in wanted])

@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from genoloom import cli, storage
 from genoloom.functions.sumstats import derive
@@ -361,7 +362,7 @@ def ld_block_ends(v):
 
 @query("SELECT CHR, min(n) AS first, max(n) + 1 AS \"end\" FROM (SELECT CHR, row_number() OVER (ORDER BY CHR, i) - 1 AS n FROM ranked) GROUP BY CHR", "ranked")
 def slice_table(v):
-    w = genotype.W.orderBy("CHR", "i")  # the small view's rows in one order
+    w = W.orderBy("CHR", "i")  # the small view's rows in one order
     return banded.slices(v("ranked").withColumn("n", F.row_number().over(w).cast("bigint") - 1), "CHR", "n")
 
 

@@ -78,6 +78,9 @@ def test_dense_extract(spark, panel):
     e, v = ldstore.read_store(spark, store), ldstore.read_variants(spark, store)
     d = {r.SNP: r["values"] for r in banded.dense(e, v, by=["chr"]).where("chr = 1").collect()}
     assert len(d) == 8 and all(len(x) == 8 for x in d.values()) and abs(d["rs0"][1] - 1) < 1e-4 and d["rs0"][3] == d["rs3"][0]
+    cli.main(["extract", "--ld", store, "--region", "1:1-3500", "--dense", "--out", str(folder / "dense")])
+    lines = [r.value.split("\t") for r in spark.read.text(str(folder / "dense")).collect()]
+    assert {x[1]: len(x) for x in lines} == {f"rs{k}": 6 for k in range(4)} and all(float(x[2 + int(x[1][2:])]) == 1 for x in lines)
 
 
 def test_streams_give_what_tables_give(spark, tmp_path):
