@@ -117,7 +117,8 @@ class Flooding:
         def named(name: str) -> list[float]:
             own = leaf(name)
             p = plain(own)
-            return [1.0 if own in t.aliases else max(0.95 if p == plain(a) else 0.7 * self.near(p, plain(a)) for a in t.aliases) for t in self.targets]
+            same = lambda a: p == plain(a) or self.tokens(own) == self.tokens(a)  # noqa: E731  the same words in another order or dress
+            return [1.0 if own in t.aliases else max(0.95 if same(a) else 0.7 * self.near(p, plain(a)) for a in t.aliases) for t in self.targets]
 
         def edges(rows: list[list[str]]) -> tuple[list[str], np.ndarray]:
             """Nodes at the other end and the edges to them."""
