@@ -200,15 +200,14 @@ def profile_of(filled: Column) -> Column:
     return F.when(filled > 0, profile)
 
 
-def reference_profiles(table: DataFrame, load: str, columns: dict[str, str], rows: int = 50_000) -> DataFrame:
-    """(target, profile) of each load of a table whose columns are known: target by name of a column of numbers. A sample of
-    labelled rows, bounded by `rows`; it only tells what the values of a field look like."""
-    stack = ", ".join(f"'{t}', CAST(`{c}` AS DOUBLE)" for t, c in columns.items())
-    some = table.select(F.col(load).alias("load"), *columns.values())
-    some = table.sparkSession.createDataFrame(some.take(rows), some.schema)  # reads no more files than it needs, as a limit within a plan would
-    long = some.select("load", F.expr(f"stack({len(columns)}, {stack}) AS (target, x)")).where("x IS NOT NULL AND NOT isnan(x)")
-    stats = long.groupBy("load", "target").agg(F.count(F.lit(1)).alias("n"), *number_stats(F.col("x")), F.lit(0).alias("bases"), F.lit(0.0).alias("length"))
-    return stats.select("target", profile_of(F.col("n")).alias("profile"))
+def reference_profiles(table: DataFrame, load: str, columns: dict[str, str]) -> DataFrame:
+    """(target, profile) of each load of a table whose columns are known: target by name of a column of numbers. All rows
+    count, one aggregation over them; values that are null or not finite don't."""
+    real = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    loads = table.groupBy(load).agg(*[F.struct(*number_stats(real(c))).alias(t) for t, c in columns.items()])
+    long = loads.select(F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("s")) for t in columns]))).select("target", "s.*")
+    stats = long.where("numbers > 0").withColumns({"bases": F.lit(0), "length": F.lit(0.0)})
+    return stats.select("target", profile_of(F.col("numbers")).alias("profile"))
 
 
 def file_columns(records: DataFrame) -> DataFrame:

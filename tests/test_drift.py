@@ -1,6 +1,6 @@
 from dataclasses import replace
 
-from genoloom.operators.drift import Flooding, correspondences, file_columns, reconcile, with_profiles
+from genoloom.operators.drift import Flooding, correspondences, file_columns, reconcile, reference_profiles, with_profiles
 from genoloom.plans.feeds import _SQL_NAMES, CASTS, TARGETS, reference
 from genoloom.plans.tables import table
 
@@ -67,6 +67,12 @@ def test_nested_keys_and_numbers_in_texts(spark):
     assert d.changes.count() == 0 and d.table.where("pos = 5000010 AND pval = 0.1 AND n = 1000").count() == 1
 
 
+def test_reference_takes_all_rows_of_all_loads(spark):
+    loads = spark.range(60_000).selectExpr("CAST(id DIV 50000 AS INT) AS load_id", "CASE WHEN id < 50000 THEN 0.1D WHEN id = 59999 THEN DOUBLE('inf') WHEN id < 59998 THEN 100D END AS z", "CAST(NULL AS INT) AS n")
+    got = [(r.target, [round(x, 6) for x in r.profile]) for r in reference_profiles(loads, "load_id", {"Z": "z", "N": "n"}).collect()]
+    assert sorted(got) == [("Z", [1, 0, 0, 1, -1, 0, 0, 0]), ("Z", [1, 0, 1, 0, 2, 0, 0, 0])]
+
+
 def test_empty_tables(spark):
     d = run(spark, [], [])
     assert d.changes.count() == 0 and d.table.count() == 0
