@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoloom.functions import stats as S
-from genoloom.operators import graph, ld
+from genoloom.operators import association, graph, ld
 from genoloom.sources import sumstats
 
 
@@ -20,6 +20,23 @@ def test_p_values_hold_in_the_tails(spark):
     assert abs(rows[-2].n - (5000 / math.log(10) + math.log10(math.sqrt(math.pi / 2) * 100))) < 1e-3 and rows[-1].p is None and rows[-1].n is None
 
 
+def test_p_values_are_right_to_the_last_digits(spark):
+    rows = spark.range(4001).selectExpr("id * 0.01D - 3 AS z").select("z", S.pvalue("z").alias("p"), S.nlog10_pvalue("z").alias("n"), F.expr(S.norm_cdf_sql("z")).alias("c")).collect()
+    for r in rows:
+        exact = math.erfc(abs(r.z) / math.sqrt(2))
+        assert abs(r.p / exact - 1) < 1e-15 * (1 + r.z * r.z) and abs(r.n + math.log10(exact)) < 1e-15 * (1 + r.z * r.z)
+        assert abs(r.c - math.erfc(-r.z / math.sqrt(2)) / 2) < 1e-15
+    zero = spark.sql("SELECT 0D AS z").select(S.pvalue("z").alias("p"), S.nlog10_pvalue("z").alias("n")).first()
+    assert (zero.p, zero.n) == (1.0, 0.0)
+
+
+def test_linear_association_of_a_phenotype_far_from_zero(spark):
+    calls = spark.range(400).selectExpr("id DIV 2 AS sample_idx", "id % 2 AS variant_idx", "CAST((id * 7 + id DIV 5) % 3 AS INT) AS dosage")
+    rows = [association.linear(calls, spark.range(200).selectExpr("id AS sample_idx", f"(id * 37 % 101) / 64D + {at} AS phenotype")).orderBy("variant_idx").collect() for at in (0, 10**8)]
+    for a, b in zip(*rows):
+        assert a.SE == pytest.approx(b.SE, rel=1e-7) and a.PVAL == pytest.approx(b.PVAL, rel=1e-6)
+
+
 @pytest.mark.parametrize(("name", "own"), [("plink", "plink2"), ("plink2", "plink2"), ("plink1.9", "plink1.9"), ("gwas-ssf", "ssf"), ("gwascatalog", "ssf"), ("GWAS-Catalog", "ssf"), ("gcta", "fastgwa"), ("saige", "saige")])
 def test_aliases_of_formats(name, own):
     assert sumstats.get_format(name).name == own
