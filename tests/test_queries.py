@@ -13,7 +13,7 @@ def test_query_equals_sql(name, compare):
 
 
 #: Queries whose rounded values are those of the SQL in every digit.
-EXACT = ["gwas_linear", "gwas_standardized", "sumstats_derive"]
+EXACT = ["gwas_linear", "gwas_standardized", "sumstats_derive", "big_gwas_linear"]
 
 
 @pytest.mark.parametrize("name", EXACT)
