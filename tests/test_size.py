@@ -11,7 +11,7 @@ import pytest
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize"]
+LONG = ["quantize", "ld_compressed"]
 
 
 @pytest.fixture(scope="session")
