@@ -11,7 +11,7 @@ import pytest
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize", "ld_compressed", "ld_pair_table"]
+LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows"]
 
 
 @pytest.fixture(scope="session")
