@@ -11,7 +11,7 @@ import pytest
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize"]
+LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld"]
 
 
 @pytest.fixture(scope="session")
