@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from genoloom.operators.ld import mirrored
+from genoloom.storage import sorted_join
 
 
 #: Variants of one bin; running sums go over bins first.
@@ -75,7 +76,7 @@ def fill_gaps(edges: DataFrame, by: list[str] | None = None, strict: bool = Fals
             raise ValueError("the entries are not contiguous around the diagonal")
         return up
     grid = ends.select(*by, "i", F.explode(F.sequence(F.col("i") + 1, "last")).alias("j"))
-    return grid.join(up, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
+    return sorted_join(grid, up, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def row_pointer(edges: DataFrame, m: int) -> DataFrame:

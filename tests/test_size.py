@@ -1,6 +1,8 @@
-"""Queries of the correlation edges over a chromosome of so many variants that the edges' products are beyond 32 bits."""
+"""Queries of the correlation edges over a chromosome of so many variants that the edges' products are beyond 32 bits, and
+their joins of sides that both grow."""
 
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -11,7 +13,7 @@ import pytest
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld"]
+LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair"]
 
 
 @pytest.fixture(scope="session")
@@ -48,3 +50,18 @@ def norm(d):
 def test_edges_of_a_long_chromosome(name, spark, long):
     got = registry.QUERIES[name](spark, long).toPandas()
     pd.testing.assert_frame_equal(norm(got), norm(want(long, name)), check_dtype=False)
+
+
+#: Queries and their broadcast joins in one plan (before and after it is adapted): those with a row for a bin or for a region.
+JOINED = {"csr_repair": 0}
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_no_side_that_grows_goes_through_the_driver(name, spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [store.execution(k).get().physicalPlanDescription() for k in range(first, store.executionsCount())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert max(len(re.findall(r"^\(\d+\) BroadcastHashJoin", p, re.M)) for p in plans) <= JOINED[name]
