@@ -102,14 +102,14 @@ def apply_mask(edges: DataFrame, kept: DataFrame, by: list[str] | None = None, r
     by = by or []
     k = kept.select(*by, "i").distinct()
     if not renumber:
-        return edges.join(k, [*by, "i"], "left_semi").join(k.withColumnRenamed("i", "j"), [*by, "j"], "left_semi")
+        return sorted_join(sorted_join(edges, k, [*by, "i"], "left_semi"), k.withColumnRenamed("i", "j"), [*by, "j"], "left_semi")
     k = k.withColumn("bin", F.floor(F.col("i") / BIN))
     over = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a row for BIN variants
     bins = k.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("s")).select(*by, "bin", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("o"))
     place = F.row_number().over(W.partitionBy(*by, "bin").orderBy("i"))
-    k = k.join(bins, [*by, "bin"]).select(*by, "i", (F.col("o") + place - 1).cast("bigint").alias("__n"))
+    k = sorted_join(k, bins, [*by, "bin"]).select(*by, "i", (F.col("o") + place - 1).cast("bigint").alias("__n"))
     a, b = k.withColumnRenamed("__n", "__i"), k.withColumnsRenamed({"i": "j", "__n": "__j"})
-    return edges.join(a, [*by, "i"]).join(b, [*by, "j"]).select(*by, F.col("__i").alias("i"), F.col("__j").alias("j"), "r")
+    return sorted_join(sorted_join(edges, a, [*by, "i"]), b, [*by, "j"]).select(*by, F.col("__i").alias("i"), F.col("__j").alias("j"), "r")
 
 
 def stack_blocks(parts: list[tuple[DataFrame, int]]) -> DataFrame:
