@@ -164,7 +164,7 @@ def block_edges(edges: DataFrame, variants: DataFrame, by: list[str] | None = No
     by = by or []
     v = variants.select(*by, "i", "block_id").where("block_id IS NOT NULL")
     w = v.select(*by, F.col("i").alias("j"), F.col("block_id").alias("__b"))
-    return edges.join(v, [*by, "i"]).join(w, [*by, "j"]).where("block_id = __b").select(*by, "block_id", "i", "j", "r")
+    return sorted_join(sorted_join(edges, v, [*by, "i"]), w, [*by, "j"]).where("block_id = __b").select(*by, "block_id", "i", "j", "r")
 
 
 def block_ends(variants: DataFrame, by: list[str] | None = None) -> DataFrame:
