@@ -21,7 +21,7 @@ def matvec(edges: DataFrame, vector: DataFrame, by: list[str] | None = None, low
     own = vector.select(*by, "i", (F.col("x") * ((1.0 + shift) if diag else shift)).alias("p"))
     x = vector.select(*by, F.col("i").alias("j"), "x")
     for p in parts:
-        own = own.unionByName(p.join(x, [*by, "j"]).select(*by, "i", (F.col("r") * F.col("x")).alias("p")))
+        own = own.unionByName(sorted_join(p, x, [*by, "j"]).select(*by, "i", (F.col("r") * F.col("x")).alias("p")))
     return own.groupBy(*by, "i").agg(F.sum("p").alias("y"))
 
 
