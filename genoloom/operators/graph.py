@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from genoloom.operators.ld import mirrored
-from genoloom.storage import cut, drop_cut
+from genoloom.storage import cut, drop_cut, sorted_join
 
 #: Variants of one bin; the genome is divided at ends of bins.
 BIN = 1024
@@ -53,7 +53,7 @@ def _with_pieces(nodes: DataFrame, links: DataFrame, by: list[str]) -> DataFrame
     bins = nodes.select(*by, bin_("i").alias("bin")).distinct().join(closed, [*by, "bin"], "left")
     w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("bin")  # a row for BIN variants
     pieces = bins.select(*by, "bin", F.sum(F.coalesce("__c", F.lit(1))).over(w).alias("piece"))
-    return nodes.withColumn("bin", bin_("i")).join(pieces, [*by, "bin"]).drop("bin")
+    return sorted_join(nodes.withColumn("bin", bin_("i")), pieces, [*by, "bin"]).drop("bin")
 
 
 def _pass(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def _greedy(nodes: DataFrame, links: DataFrame, by: list[str], ranked: bool, pie
         near = links.select(*by, F.col("o_i").alias("i"), F.col("i").alias("e"))
         earlier = near.groupBy(*keys).agg(F.collect_list("e").alias("earlier"))
         last = links.groupBy(*keys).agg(F.max("o_i").cast("bigint").alias("last"))
-        return _pass(placed.withColumn("rank", F.col("i")).join(earlier, keys, "left").join(last, keys, "left"), by)
+        return _pass(sorted_join(sorted_join(placed.withColumn("rank", F.col("i")), earlier, keys, "left"), last, keys, "left"), by)
     placed = cut(placed, "pieces")
     both = links.unionByName(links.select(*by, F.col("o_i").alias("i"), F.col("i").alias("o_i")))
     sizes = placed.groupBy(*by, "piece").count()
