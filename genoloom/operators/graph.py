@@ -100,9 +100,9 @@ def _greedy(nodes: DataFrame, links: DataFrame, by: list[str], ranked: bool, pie
     large = cut(sizes.where(F.col("count") > piece_rows).select(*by, "piece"), "large")
     own = placed.join(large, [*by, "piece"], "left_anti")
     ranks = own.select(*keys, "rank")
-    near = both.join(ranks, keys).join(ranks.select(*by, F.col("i").alias("o_i"), F.col("rank").alias("o_rank")), [*by, "o_i"]).where("o_rank < rank")
+    near = sorted_join(sorted_join(both, ranks, keys), ranks.select(*by, F.col("i").alias("o_i"), F.col("rank").alias("o_rank")), [*by, "o_i"]).where("o_rank < rank")
     earlier = near.groupBy(*keys).agg(F.collect_list("o_i").alias("earlier"))
-    out = _pass(own.join(earlier, keys, "left").withColumn("last", F.lit(None).cast("bigint")), by)
+    out = _pass(sorted_join(own, earlier, keys, "left").withColumn("last", F.lit(None).cast("bigint")), by)
     if large.isEmpty():
         return out
     rest = placed.join(large, [*by, "piece"], "left_semi").select(*keys, "rank")
