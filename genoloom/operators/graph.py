@@ -161,10 +161,10 @@ def ordered(variants: DataFrame, listed: DataFrame | None = None, stats: DataFra
     """
     out = variants
     if listed is not None:
-        out = out.join(listed.groupBy(on).agg(F.min("ord").cast("double").alias("__o")), on, "left")
+        out = sorted_join(out, listed.groupBy(on).agg(F.min("ord").cast("double").alias("__o")), [on], "left")
     if stats is not None:
         own = priority(stats).groupBy(on).agg(F.min("rank").cast("double").alias("__p"))
-        out = out.join(own, on, "left")
+        out = sorted_join(out, own, [on], "left")
     o = F.col("__o") if listed is not None else F.lit(None).cast("double")
     p = F.col("__p") if stats is not None else F.lit(None).cast("double")
     rank = F.when(o.isNotNull(), F.struct(F.lit(0).alias("k"), o.alias("x"))).when(p.isNotNull(), F.struct(F.lit(1).alias("k"), p.alias("x")))
