@@ -205,10 +205,10 @@ def dense(edges: DataFrame, variants: DataFrame, by: list[str] | None = None) ->
     the order of the variants. Meant for regions: a row is as long as its chromosome has variants here."""
     by = by or []
     ids = variants.select(*by, "i", "SNP").distinct()
-    both = edges.unionByName(edges.select(*[c for c in edges.columns if c not in ("i", "j", "r")], F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    here = sorted_join(sorted_join(edges, ids.select(*by, "i"), [*by, "i"]), ids.select(*by, F.col("i").alias("j")), [*by, "j"])
     every = ids.groupBy(*by).agg(F.sort_array(F.collect_list("i")).alias("__all")) if by else ids.agg(F.sort_array(F.collect_list("i")).alias("__all"))
-    near = both.join(ids.select(*by, "i"), [*by, "i"]).join(ids.select(*by, F.col("i").alias("j")), [*by, "j"]).groupBy(*by, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "r"))).alias("__m"))
+    near = mirrored(here, by).groupBy(*by, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "r"))).alias("__m"))
     rows = ids.join(every, by) if by else ids.join(F.broadcast(every))  # one row
-    rows = rows.join(near, [*by, "i"], "left")
+    rows = sorted_join(rows, near, [*by, "i"], "left")
     value = lambda j: F.when(j == F.col("i"), F.lit(1.0)).otherwise(F.coalesce(F.try_element_at("__m", j), F.lit(0.0)))
     return rows.select(*by, "i", "SNP", F.transform("__all", value).alias("values"))

@@ -10,10 +10,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from genoloom.operators import banded
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair", "ld_mask", "ld_block_iterator", "ld_matvec", "ld_score", "ld_snp_table", "ld_store_upkeep", "ld_prune", "ld_prune_ranked", "ld_prune_listed"]
+LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair", "ld_mask", "ld_block_iterator", "ld_matvec", "ld_score", "ld_snp_table", "ld_store_upkeep", "ld_prune", "ld_prune_ranked", "ld_prune_listed", "ld_dense_region"]
 
 
 @pytest.fixture(scope="session")
@@ -65,3 +66,13 @@ def test_no_side_that_grows_goes_through_the_driver(name, spark):
     plans = [store.execution(k).get().physicalPlanDescription() for k in range(first, store.executionsCount())]
     assert any("SortMergeJoin" in p for p in plans)
     assert max(len(re.findall(r"^\(\d+\) BroadcastHashJoin", p, re.M)) for p in plans) <= JOINED[name]
+
+
+def test_dense_rows_join_no_side_through_the_driver(spark):
+    variants = spark.range(40).selectExpr("id % 2 AS chr", "id DIV 2 AS i", "concat('rs', id) AS SNP")
+    edges = spark.range(38).selectExpr("id % 2 AS chr", "id DIV 2 AS i", "id DIV 2 + 1 AS j", "id / 40D AS r")
+    d = banded.dense(edges, variants.where("i < 10"), by=["chr"])
+    assert d._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1  # a row for a chromosome
+    rows = {(r.chr, r.i): r["values"] for r in d.collect()}
+    e = {(c, k): (2 * k + c) / 40 for c in (0, 1) for k in range(9)}
+    assert rows == {(c, i): [1.0 if i == j else e.get((c, min(i, j)), 0.0) if abs(i - j) == 1 else 0.0 for j in range(10)] for c in (0, 1) for i in range(10)}
