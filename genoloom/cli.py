@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from genoloom.loader import Study
 from genoloom.operators import banded, graph, intervals, simulate
 from genoloom.sources import ldstore, sumstats, tables
+from genoloom.storage import sorted_join
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,13 +67,13 @@ def main(args: list[str] | None = None) -> None:
             own = v if listed is None else v.join(listed, "SNP", "left_semi")
             if a.region:
                 r = spark.createDataFrame([(tables.chromosome(c), s, e) for c, s, e in intervals.regions(a.region)], "chr int, start_pos int, end_pos int")
-                own = intervals.inside(own, r, ["chr", "i"], chr_col="chr")
+                own = intervals.inside(own, F.broadcast(r), ["chr", "i"], chr_col="chr")  # those of the command line
             ids = own.select("chr", "i", "SNP")
             if a.dense:
                 cells = F.transform("values", lambda x: x.cast("string"))
                 banded.dense(edges, ids, by=["chr"]).orderBy("chr", "i").select(F.concat_ws("\t", "chr", "SNP", cells).alias("value")).write.mode("overwrite").text(a.out)
                 return
-            near = edges.join(ids.withColumnRenamed("SNP", "SNP_A"), ["chr", "i"]).join(ids.select("chr", F.col("i").alias("j"), F.col("SNP").alias("SNP_B")), ["chr", "j"])
+            near = sorted_join(sorted_join(edges, ids.withColumnRenamed("SNP", "SNP_A"), ["chr", "i"]), ids.select("chr", F.col("i").alias("j"), F.col("SNP").alias("SNP_B")), ["chr", "j"])
             tables.write_table(near.select("chr", "SNP_A", "SNP_B", "r"), a.out)
     elif a.command == "simulate":
         study = Study.from_bed(spark, a.bed)

@@ -14,7 +14,7 @@ from genoloom.operators import banded
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair", "ld_mask", "ld_block_iterator", "ld_matvec", "ld_score", "ld_snp_table", "ld_store_upkeep", "ld_prune", "ld_prune_ranked", "ld_prune_listed", "ld_dense_region"]
+LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair", "ld_mask", "ld_block_iterator", "ld_matvec", "ld_score", "ld_snp_table", "ld_store_upkeep", "ld_prune", "ld_prune_ranked", "ld_prune_listed", "ld_dense_region", "command_extract"]
 
 
 @pytest.fixture(scope="session")
@@ -54,7 +54,7 @@ def test_edges_of_a_long_chromosome(name, spark, long):
 
 
 #: Queries and their broadcast joins in one plan (before and after it is adapted): those with a row for a bin or for a region.
-JOINED = {"csr_repair": 0, "ld_mask": 0, "ld_block_iterator": 0, "ld_matvec": 0, "ld_score": 0, "ld_snp_table": 0, "ld_store_upkeep": 0, "ld_prune": 1, "ld_prune_ranked": 3, "ld_prune_listed": 3}
+JOINED = {"csr_repair": 0, "ld_mask": 0, "ld_block_iterator": 0, "ld_matvec": 0, "ld_score": 0, "ld_snp_table": 0, "ld_store_upkeep": 0, "ld_prune": 1, "ld_prune_ranked": 3, "ld_prune_listed": 3, "command_extract": 5}
 
 
 @pytest.mark.parametrize("name", JOINED)
