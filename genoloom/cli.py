@@ -62,7 +62,7 @@ def main(args: list[str] | None = None) -> None:
             tables.write_table(v.join(kept, ["chr", "i"], "left_semi").select("SNP"), a.out, header=False)
         elif a.command == "expand":
             found = graph.expand(edges, v.join(listed, "SNP").select("chr", "i", "ord"), a.r2, by=["chr"])
-            tables.write_table(v.join(found, ["chr", "i"]).orderBy("part", "ord", "chr", "i").select("SNP"), a.out, header=False)
+            tables.write_table(sorted_join(v, found, ["chr", "i"]).orderBy("part", "ord", "chr", "i").select("SNP"), a.out, header=False)
         else:
             own = v if listed is None else v.join(listed, "SNP", "left_semi")
             if a.region:
