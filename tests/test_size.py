@@ -14,7 +14,7 @@ from genoloom.operators import banded
 from genoloom.plans import registry
 
 #: Queries that are compared with their SQL there.
-LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair", "ld_mask", "ld_block_iterator", "ld_matvec", "ld_score", "ld_snp_table", "ld_store_upkeep", "ld_prune", "ld_prune_ranked", "ld_prune_listed", "ld_dense_region", "command_extract", "command_expand", "expand_snps"]
+LONG = ["quantize", "ld_compressed", "ld_pair_table", "ld_replace_rows", "ld_stack_blocks", "ld_store_part", "ld_store_summary", "ld_symmetrize", "study_with_ld", "csr_repair", "ld_mask", "ld_block_iterator", "ld_matvec", "ld_score", "ld_snp_table", "ld_store_upkeep", "ld_prune", "ld_prune_ranked", "ld_prune_listed", "ld_dense_region", "command_extract", "command_expand", "expand_snps", "correlated_split"]
 
 
 @pytest.fixture(scope="session")
