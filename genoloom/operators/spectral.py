@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.operators.banded import assign_blocks, matvec
 from genoloom.operators.intervals import outside
-from genoloom.storage import cut, drop_cut
+from genoloom.storage import cut, drop_cut, sorted_join
 
 
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +25,7 @@ def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(edges: DataFrame, variants: DataFrame) -> DataFrame:
     """Rows (block_id, i, j, r) of edges inside blocks, and of the diagonal. variants: i, block_id; blocks must be bounded."""
     v = variants.select("i", "block_id")
-    same = edges.join(v, "i").join(v.select(F.col("i").alias("j"), F.col("block_id").alias("__b")), "j").where("block_id = __b")
+    same = sorted_join(sorted_join(edges, v, ["i"]), v.select(F.col("i").alias("j"), F.col("block_id").alias("__b")), ["j"]).where("block_id = __b")
     return same.select("block_id", "i", "j", "r").unionByName(v.select("block_id", "i", F.col("i").alias("j"), F.lit(1.0).alias("r")))
 
 
@@ -143,5 +143,5 @@ def correlated_noise(edges: DataFrame, variants: DataFrame, seed: int) -> DataFr
 def train_test_correlated(stats: DataFrame, edges: DataFrame, variants: DataFrame, p: float, seed: int) -> DataFrame:
     """As simulate.train_test, with the noise of neighbouring variants correlated as they are. stats: i, STD_BETA, N."""
     n = F.col("N")
-    out = stats.join(correlated_noise(edges, variants, seed), "i").withColumn("train_beta", F.col("STD_BETA") + F.sqrt(1 / (p * n) - 1 / n) * F.col("x")).drop("x")
+    out = sorted_join(stats, correlated_noise(edges, variants, seed), ["i"]).withColumn("train_beta", F.col("STD_BETA") + F.sqrt(1 / (p * n) - 1 / n) * F.col("x")).drop("x")
     return out.withColumn("test_beta", F.col("STD_BETA") / (1 - p) - F.col("train_beta") * p / (1 - p)).withColumn("train_n", n * p).withColumn("test_n", n * (1 - p))
