@@ -136,7 +136,7 @@ def from_pair_table(pairs: DataFrame, variants: DataFrame, trim: bool = False) -
     """Edges of a table SNP_A, SNP_B, R by the index (variants: SNP, i, optionally v_end); a null R is 0."""
     a = variants.select(F.col("SNP").alias("SNP_A"), F.col("i").alias("__a"), *(["v_end"] if trim else []))
     b = variants.select(F.col("SNP").alias("SNP_B"), F.col("i").alias("__b"))
-    e = pairs.join(a, "SNP_A").join(b, "SNP_B").withColumn("i", F.least("__a", "__b")).withColumn("j", F.greatest("__a", "__b")).where("i < j")
+    e = sorted_join(sorted_join(pairs, a, ["SNP_A"]), b, ["SNP_B"]).withColumn("i", F.least("__a", "__b")).withColumn("j", F.greatest("__a", "__b")).where("i < j")
     return (e.where("j < v_end") if trim else e).select("i", "j", F.coalesce("R", F.lit(0.0)).alias("r"))
 
 
