@@ -29,18 +29,18 @@ def _rounds(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     others = [f"o_{k}" for k in keys]
     ranks = nodes.select(*keys, "rank")
     edges = cut(
-        links.join(ranks, keys).join(ranks.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("rank").alias("o_rank")), others).select(*keys, *others, "rank", "o_rank"), "links"
+        sorted_join(sorted_join(links, ranks, keys), ranks.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("rank").alias("o_rank")), others).select(*keys, *others, "rank", "o_rank"), "links"
     )
     todo = cut(nodes.select(*keys), "todo")
     kept: DataFrame | None = None
     while not todo.isEmpty():
-        later = edges.where("o_rank < rank").join(todo.select(*[F.col(k).alias(f"o_{k}") for k in keys]), others, "left_semi").select(*keys).distinct()
-        now = cut(todo.join(later, keys, "left_anti"), "kept")
+        later = sorted_join(edges.where("o_rank < rank"), todo.select(*[F.col(k).alias(f"o_{k}") for k in keys]), others, "left_semi").select(*keys).distinct()
+        now = cut(sorted_join(todo, later, keys, "left_anti"), "kept")
         kept = now if kept is None else kept.unionByName(now)
-        gone = edges.join(now, keys, "left_semi").select(*[F.col(f"o_{k}").alias(k) for k in keys]).distinct()
+        gone = sorted_join(edges, now, keys, "left_semi").select(*[F.col(f"o_{k}").alias(k) for k in keys]).distinct()
         before = todo, edges
-        todo = cut(todo.join(now, keys, "left_anti").join(gone, keys, "left_anti"), "todo")
-        edges = cut(edges.join(todo, keys, "left_semi").join(todo.select(*[F.col(k).alias(f"o_{k}") for k in keys]), others, "left_semi"), "links")
+        todo = cut(sorted_join(sorted_join(todo, now, keys, "left_anti"), gone, keys, "left_anti"), "todo")
+        edges = cut(sorted_join(sorted_join(edges, todo, keys, "left_semi"), todo.select(*[F.col(k).alias(f"o_{k}") for k in keys]), others, "left_semi"), "links")
         drop_cut(*before)
     return nodes.select(*keys).limit(0) if kept is None else kept
 

@@ -54,7 +54,7 @@ def test_edges_of_a_long_chromosome(name, spark, long):
 
 
 #: Queries and their broadcast joins in one plan (before and after it is adapted): those with a row for a bin or for a region.
-JOINED = {"csr_repair": 0, "ld_mask": 0, "ld_block_iterator": 0, "ld_matvec": 0, "ld_score": 0, "ld_snp_table": 0, "ld_store_upkeep": 0, "ld_prune": 1, "ld_prune_ranked": 3, "ld_prune_listed": 3, "command_extract": 5, "ld_pair_table": 0, "correlated_split": 4}
+JOINED = {"csr_repair": 0, "ld_mask": 0, "ld_block_iterator": 0, "ld_matvec": 0, "ld_score": 0, "ld_snp_table": 0, "ld_store_upkeep": 0, "ld_prune": 1, "ld_prune_ranked": 3, "ld_prune_listed": 3, "command_extract": 5, "ld_pair_table": 0, "correlated_split": 4, "ld_prune_in_rounds": 4}
 
 
 @pytest.mark.parametrize("name", JOINED)
